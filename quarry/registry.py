@@ -1,5 +1,33 @@
-"""The queries of the engine's own operators, and the SQL that stands beside each."""
+"""The queries of the engine's own operators, and the SQL that stands beside each.
 
-QUERIES: dict = {}
-SQL: dict = {}
+A module registers a query with the decorator; `load` imports the modules in which that happens.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from importlib import import_module
+
+QUERIES: dict[str, Callable] = {}
+SQL: dict[str, str] = {}
 FLAGSHIP = "panel_daily"
+MODULES = ["quarry.operators.market", "quarry.operators.features", "quarry.operators.preparation", "quarry.operators.documents"]
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Callable], Callable]:
+    """Register a query of (spark, sf_dir), with the SQL that DuckDB runs on the same tables where there is such."""
+
+    def register(f: Callable) -> Callable:
+        if name in QUERIES:
+            raise ValueError(f"two queries named {name}")
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return register
+
+
+def load() -> None:
+    for m in MODULES:
+        import_module(m)
