@@ -163,6 +163,8 @@ def rolling_exponents(r: DataFrame, value: str, size: int = 128, step: int = 32)
         g = g.sort_values("ts").dropna()
         x, ts = g[value].to_numpy(float), g["ts"].to_numpy()
         at = range(0, len(x) - size + 1, step)
+        if not at:
+            return pd.DataFrame()
         return pd.DataFrame({"symbol": [g["symbol"].iloc[0]] * len(at), "ts": [ts[i + size - 1] for i in at], "hurst": [float(slopes(fluctuations(x[i : i + size], [8, 16, 32], (2.0,)), [8, 16, 32])[0]) for i in at]})
 
     return r.select("symbol", "ts", value).groupBy("symbol").applyInPandas(one, "symbol string, ts timestamp_ntz, hurst double")
