@@ -173,3 +173,143 @@ def rolling_exponents(r: DataFrame, value: str, size: int = 128, step: int = 32)
 @query("rolling_exponents")
 def _rolling(spark, sf):
     return rolling_exponents(returns(daily_bars(spark, sf)), "log_return")
+
+
+# more kernels
+
+
+def moving_average_fluctuations(x: np.ndarray, scales: list[int], q: tuple[float, ...] = Q, place: float = 0.0) -> np.ndarray:
+    """F_q(s) of the profile less its moving average; `place` 0 takes the average backward, 0.5 centred, 1 forward."""
+    profile = np.cumsum(x - x.mean())
+    out = np.full((len(q), len(scales)), np.nan)
+    for j, s in enumerate(scales):
+        if s < 2 or len(profile) < 2 * s:
+            continue
+        average = np.convolve(profile, np.ones(s) / s, "valid")
+        first = int(round((s - 1) * (1 - place)))
+        rest = profile[first : first + len(average)] - average
+        n = len(rest) // s
+        variance = np.maximum(rest[: n * s].reshape(n, s).var(axis=1), 1e-300)
+        for i, power in enumerate(q):
+            out[i, j] = np.exp(0.5 * np.log(variance).mean()) if power == 0 else (variance ** (power / 2)).mean() ** (1 / power)
+    return out
+
+
+def cross_fluctuations(x: np.ndarray, y: np.ndarray, scales: list[int], q: tuple[float, ...] = Q, order: int = 1) -> np.ndarray:
+    """F_q(s) of two series: q-th order means of the absolute covariance of their windows' residuals; the windows are not summed up first."""
+    n_all = min(len(x), len(y))
+    out = np.full((len(q), len(scales)), np.nan)
+    for j, s in enumerate(scales):
+        n = n_all // s
+        if n < 1 or s <= order + 1:
+            continue
+        basis = np.vander(np.arange(s) / s, order + 1)
+        rests = []
+        for z in (x, y):
+            parts = z[: n * s].reshape(n, s).T
+            rests.append(parts - basis @ np.linalg.lstsq(basis, parts, rcond=None)[0])
+        covariance = np.maximum(np.abs((rests[0] * rests[1]).mean(axis=0)), 1e-300)
+        for i, power in enumerate(q):
+            out[i, j] = np.exp(0.5 * np.log(covariance).mean()) if power == 0 else (covariance ** (power / 2)).mean() ** (1 / power)
+    return out
+
+
+def partition_function(measure: np.ndarray, sizes: list[int], q: tuple[float, ...] = Q) -> np.ndarray:
+    """Sums of q-th powers of the masses of boxes; q = 0 counts boxes with mass, q = 1 is the exponential of minus the entropy."""
+    mass = np.abs(measure) / max(np.abs(measure).sum(), 1e-300)
+    out = np.full((len(q), len(sizes)), np.nan)
+    for j, s in enumerate(sizes):
+        n = len(mass) // s
+        if n < 1:
+            continue
+        p = mass[: n * s].reshape(n, s).sum(axis=1)
+        p = p[p > 0]
+        for i, power in enumerate(q):
+            out[i, j] = len(p) if power == 0 else np.exp((p * np.log(p)).sum()) if power == 1 else (p**power).sum()
+    return out
+
+
+def robust_slope(x: np.ndarray, y: np.ndarray) -> float:
+    """Theil-Sen slope: the median of the slopes between all points of a short list of scales."""
+    i, j = np.triu_indices(len(x), 1)
+    ok = x[i] != x[j]
+    return float(np.median((y[j] - y[i])[ok] / (x[j] - x[i])[ok])) if ok.any() else np.nan
+
+
+def generalized_hurst(x: np.ndarray, q: float = 2.0, lags: range = range(1, 6)) -> float:
+    """Slope of the q-th moments of increments against the lag, over q, cut to 0 to 1.5."""
+    walk = np.cumsum(x)
+    moments = [np.mean(np.abs(walk[k:] - walk[:-k]) ** q) for k in lags if len(walk) > k]
+    if len(moments) < 2 or min(moments) <= 0:
+        return 0.0
+    return float(np.clip(np.polyfit(np.log(list(lags)[: len(moments)]), np.log(moments), 1)[0] / q, 0.0, 1.5))
+
+
+def circular_autocorrelation(x: np.ndarray) -> float:
+    """Correlation of each value with the next, the last with the first."""
+    d = x - x.mean()
+    below = (d * d).sum()
+    return float((d * np.roll(d, -1)).sum() / below) if below > 0 else 0.0
+
+
+def block_shuffle(x: np.ndarray, size: int, seed: int) -> np.ndarray:
+    blocks = [x[i : i + size] for i in range(0, len(x), size)]
+    return np.concatenate([blocks[i] for i in np.random.default_rng(seed).permutation(len(blocks))]) if blocks else x
+
+
+def amplitude_adjusted_surrogate(x: np.ndarray, seed: int, rounds: int = 10) -> np.ndarray:
+    """A series with the values of x and about its spectrum: phases of the shuffled series, values by rank, in turns."""
+    ordered, size = np.sort(x), np.abs(np.fft.rfft(x))
+    out = np.random.default_rng(seed).permutation(x)
+    for _ in range(rounds):
+        f = np.fft.rfft(out)
+        out = ordered[np.argsort(np.argsort(np.fft.irfft(size * np.exp(1j * np.angle(f)), len(x)), kind="stable"), kind="stable")]
+    return out
+
+
+def bootstrap_interval(x: np.ndarray, statistic, count: int, level: float, seed: int, block: int = 16) -> tuple[float, float]:
+    """Interval of a statistic over series made of blocks drawn with replacement."""
+    rng = np.random.default_rng(seed)
+    n = -(-len(x) // block)
+    values = [statistic(np.concatenate([x[i : i + block] for i in rng.integers(0, max(1, len(x) - block + 1), n)])[: len(x)]) for _ in range(count)]
+    return tuple(float(v) for v in np.quantile(values, [(1 - level) / 2, (1 + level) / 2]))
+
+
+def simulate(kind: str, n: int, seed: int, scale: float = 0.01, strength: float = 0.3) -> np.ndarray:
+    """Returns of a model: gaussian, mrw (noise times the exponential of a slow process), msm (switching volatility components), mmar (noise in cascade time)."""
+    rng = np.random.default_rng(seed)
+    noise = rng.normal(size=n)
+    if kind == "gaussian":
+        return scale * noise
+    if kind == "mrw":
+        slow = np.zeros(n)
+        for i, e in enumerate(rng.normal(size=n)):
+            slow[i] = (0.98 * slow[i - 1] if i else 0.0) + strength * 0.2 * e
+        return scale * np.exp(slow - slow.var()) * noise
+    if kind == "msm":
+        volatility = np.ones(n)
+        for k in range(5):
+            switches = np.cumsum(rng.random(n) < min(1.0, 0.5 / 2**k))
+            volatility *= rng.choice([1 - strength, 1 + strength], switches[-1] + 1)[switches]
+        return scale * np.sqrt(volatility) * noise
+    if kind == "mmar":
+        time = binomial_cascade(int(np.ceil(np.log2(max(n, 2)))), 0.5 - strength / 2)[:n]
+        return scale * np.sqrt(time / time.mean()) * noise
+    raise ValueError(f"no model {kind}")
+
+
+def compare_with_surrogates(x: np.ndarray, scales: list[int], seed: int, count: int = 5) -> dict[str, float]:
+    """Spectrum widths of a series, of its shuffles, of a surrogate of equal values and spectrum, and of its clipped values."""
+    width = lambda z: multifractal(z, scales)["width"]
+    low, high = np.quantile(x, [0.01, 0.99])
+    return {"width": width(x), "shuffled": float(np.mean([width(surrogate(x, seed + i)) for i in range(count)])), "adjusted": width(amplitude_adjusted_surrogate(x, seed)), "clipped": width(np.clip(x, low, high))}
+
+
+@query("series_surrogates")
+def _surrogates(spark, sf):
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        x = g.sort_values("ts")["log_return"].dropna().to_numpy(float)
+        return pd.DataFrame([{"symbol": g["symbol"].iloc[0], **compare_with_surrogates(x, [8, 16, 32], 1)}]) if len(x) >= 64 else pd.DataFrame()
+
+    r = returns(hourly_bars(spark, sf)).select("symbol", "ts", "log_return")
+    return r.groupBy("symbol").applyInPandas(one, "symbol string, width double, shuffled double, adjusted double, clipped double")

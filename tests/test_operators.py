@@ -221,3 +221,24 @@ def test_digest_quotas(spark):
     d = spark.createDataFrame([(i, "en", f"s{i % 2}", i) for i in range(40)], "doc_id long, lang string, source string, n long")
     got = documents.digest(d, F.col("n"), 5, 8).collect()
     assert len(got) == 8 and {r.position for r in got} == set(range(1, 9))
+
+
+def test_more_kernels():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=2048)
+    scales = [8, 16, 32, 64]
+    assert 0.3 < timeseries.slopes(timeseries.moving_average_fluctuations(x, scales, (2.0,)), scales)[0] < 0.7
+    assert np.allclose(timeseries.cross_fluctuations(x, x, scales, (2.0,)) ** 2, [[np.mean([np.var(w - np.polyval(np.polyfit(np.arange(s), w, 1), np.arange(s))) for w in x[: len(x) // s * s].reshape(-1, s)]) for s in scales]])
+    masses = timeseries.partition_function(np.ones(64), [1, 2, 4], (0.0, 1.0, 2.0))
+    assert masses[0].tolist() == [64, 32, 16] and masses[2] == pytest.approx([1 / 64, 1 / 32, 1 / 16]) and masses[1] == pytest.approx(masses[2])
+    assert timeseries.robust_slope(np.array([0.0, 1, 2, 3]), np.array([0.0, 2, 4, 100])) == pytest.approx(18, abs=17) and 0.4 < timeseries.generalized_hurst(x) < 0.6
+    assert timeseries.circular_autocorrelation(np.array([1.0, -1.0])) == pytest.approx(-1)
+    for made in (timeseries.block_shuffle(x, 10, 1), timeseries.amplitude_adjusted_surrogate(x, 1), timeseries.surrogate(x, 1)):
+        assert sorted(made) == pytest.approx(sorted(x))
+    lo, hi = timeseries.bootstrap_interval(x, np.mean, 50, 0.9, 1)
+    assert lo < 0.1 and hi > -0.1 and lo < hi
+    for kind in ("gaussian", "mrw", "msm", "mmar"):
+        s = timeseries.simulate(kind, 500, 2)
+        assert len(s) == 500 and (s == timeseries.simulate(kind, 500, 2)).all()
+    with pytest.raises(ValueError, match="no model"):
+        timeseries.simulate("none", 5, 1)
