@@ -175,22 +175,27 @@ def _bm25(spark, sf):
     return bm25(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
 
 
-def cosine_top(vectors: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
-    """The `top` nearest vectors of each query by cosine, exact. All queries come as one array, whose size is the caller's to bound; vectors stay where they are."""
+def cosine_top(vectors: DataFrame, queries: DataFrame, top: int = 10, block: int = 256) -> DataFrame:
+    """The `top` nearest vectors of each query (query_id, q) by cosine, exact, against all vectors.
+
+    Queries are dealt into blocks of about `block`, one row each, and vectors meet blocks; the best of each query are cut to
+    `top` before the shuffle, where Spark limits the window by groups.
+    """
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    block = queries.agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
+    n_blocks = max(1, -(-queries.count() // block))
+    blocks = queries.withColumn("l", norm(F.col("q"))).groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "q", "l")).alias("qs"))
     dot = F.aggregate(F.zip_with("embedding", F.col("x.q"), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, v: a + v)
-    pairs = vectors.crossJoin(F.broadcast(block)).select("vec_id", "embedding", F.explode("qs").alias("x"))
-    scored = pairs.select(F.col("x.query_id").alias("query_id"), "vec_id", F.round(dot / (norm(F.col("embedding")) * norm(F.col("x.q"))), 6).alias("cosine"))
+    pairs = vectors.withColumn("l", norm(F.col("embedding"))).crossJoin(blocks.select("qs")).select("vec_id", "embedding", "l", F.explode("qs").alias("x"))
+    scored = pairs.select(F.col("x.query_id").alias("query_id"), "vec_id", F.round(dot / (F.col("l") * F.col("x.l")), 6).alias("cosine"))
     w = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "vec_id")
     return scored.withColumn("position", F.row_number().over(w)).where(F.col("position") <= top)
 
 
-@query("retrieval_cosine", """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 5), s AS (SELECT query_id, vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q AS DOUBLE[]), CAST(q AS DOUBLE[])))), 6) AS cosine FROM embeddings, q)
+@query("retrieval_cosine", """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q AS DOUBLE[]), CAST(q AS DOUBLE[])))), 6) AS cosine FROM embeddings, q)
     SELECT query_id, vec_id, cosine, CAST(position AS INT) AS position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS position FROM s) WHERE position <= 10""")
 def _cosine(spark, sf):
     e = table(spark, sf, "embeddings")
-    return cosine_top(e, e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
+    return cosine_top(e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
 
 
 # claims

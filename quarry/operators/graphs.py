@@ -5,7 +5,7 @@ Iterations are a fixed small number of joins; each result is written to a checkp
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quarry.functions.numeric import digits, ratio
 from quarry.operators.evaluation import RETURNS_SQL, covariances
@@ -20,15 +20,15 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def trade_edges(spark, sf) -> DataFrame:
-    """(src, dst, weight): supplier nation to customer nation, weighted by the number of line items."""
+    """(src, dst, weight): supplier nation to another customer nation by the number of line items, where it is above the supplier's mean."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
     flows = li.join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     flows = flows.join(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     g = flows.groupBy(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
-    return g.where("src <> dst and (src * 7 + dst * 3) % 5 = 0")
+    return g.where("src <> dst").withColumn("mean", F.avg("weight").over(Window.partitionBy("src"))).where("weight > mean").drop("mean")
 
 
-EDGES_SQL = "e AS (SELECT s_nationkey AS src, c_nationkey AS dst, CAST(count(*) AS DOUBLE) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey AND (s_nationkey * 7 + c_nationkey * 3) % 5 = 0 GROUP BY 1, 2)"
+EDGES_SQL = "e0 AS (SELECT s_nationkey AS src, c_nationkey AS dst, CAST(count(*) AS DOUBLE) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey GROUP BY 1, 2), e AS (SELECT * FROM e0 QUALIFY weight > avg(weight) OVER (PARTITION BY src))"
 
 
 def degrees(edges: DataFrame) -> DataFrame:
