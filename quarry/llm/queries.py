@@ -73,7 +73,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_webp, op3_simhash, op4_warc, op5_merkle, op6_packing, op7_quality, op8_bpe, op9_urls, op10_suffix_dedup)
 }
 
+def _uuid_sql(*parts: str) -> str:
+    h = f"md5(concat_ws(chr(10), {', '.join(parts)}))"
+    return f"'urn:uuid:' || substring({h}, 1, 8) || '-' || substring({h}, 9, 4) || '-' || substring({h}, 13, 4) || '-' || substring({h}, 17, 4) || '-' || substring({h}, 21, 12)"
+
+
+def _entities_sql(x: str) -> str:
+    for entity, char in warc._ENTITIES:
+        x = f"replace({x}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return x
+
+
+def _warc_sql() -> str:
+    text = "regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
+    for tag in warc._HIDDEN:
+        text = rf"regexp_replace({text}, '(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>', ' ', 'g')"
+    text = _entities_sql(rf"regexp_replace(regexp_replace({text}, '{warc._BLOCK_TAGS}', chr(10), 'g'), '<[^>]*>', '', 'g')")
+    text = rf"regexp_replace(regexp_replace(regexp_replace({text}, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
+    title = rf"regexp_replace(regexp_replace({_entities_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)")}, '\s+', ' ', 'g'), '^ | $', '', 'g')"
+    end = "chr(13) || chr(10)"
+    return rf"""
+        WITH p AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS html FROM pages),
+        r AS (SELECT *, {_uuid_sql("'response'", "coalesce(CAST(page_id AS VARCHAR), '')", 'target_uri', 'sha256(html)')} AS refers_to, 'sha256:' || sha256(html) AS source_digest,
+                     'HTTP/1.1 200 OK' || {end} || 'Content-Type: text/html; charset=utf-8' || {end} || 'Content-Length: ' || strlen(html) || {end} AS source_headers, {text} AS t, {title} AS title,
+                     len(regexp_extract_all(html, '(?i)<a\s[^>]*href')) AS links FROM p),
+        d AS (SELECT *, {_uuid_sql("'conversion'", 'refers_to', 'source_digest')} AS of_text FROM r),
+        k AS (SELECT *, 'conversion' AS warc_type, of_text AS record_id, 'text/plain' AS content_type, t AS block FROM d UNION ALL
+              SELECT *, 'metadata', {_uuid_sql("'metadata'", 'refers_to', 'source_digest')}, 'application/warc-fields',
+                     'title: ' || title || {end} || 'source-content-type: text/html; charset=utf-8' || {end} || 'source-payload-digest: ' || source_digest || {end} || 'conversion-record-id: ' || of_text || {end} ||
+                     'conversion-digest: sha256:' || sha256(t) || {end} || 'outlinks: ' || links || {end} FROM d)
+        SELECT page_id, warc_type, record_id, refers_to, target_uri, content_type, source_headers, source_digest, strlen(block) AS content_length, 'sha256:' || sha256(block) AS block_digest, block FROM k
+    """
+
+
 SQL: dict[str, str] = {
+    "op4_warc": _warc_sql(),
     "op9_urls": r"""
         WITH rules(r_host, r_path, r_verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
                                                          ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
