@@ -226,8 +226,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, whose id is the component_id of its near-duplicates: one document of each group.
 
-    Rows without an id can stand for no group and stay only if no member of their group has one; rows that repeat an id with
-    equal texts stay once. The decision is joined by id and fingerprint; Spark broadcasts it only below its own threshold.
+    Rows without an id can stand for no group and stay only if no member of their group has one. All rows stay that have an
+    id which stands for a group, so rows that repeat an id stay or go together. The decision is joined by id; Spark
+    broadcasts it only below its own threshold.
     """
     judged = near_duplicates(docs, id_col, text_col)
     kept = judged.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "fingerprint").agg(F.count("*").alias("__times"))
