@@ -23,8 +23,10 @@ from quarry.llm.common import Batches, column_bytes, limit_batches, stored
 
 LENGTH = 400
 GRAM = 64
-#: Surroundings of one anchor that a task orders at once; anchors with more take the exact way over hashes of windows.
-CROWD = 20_000
+#: Anchors in more texts than this are refined: their surroundings are keyed by more of the text on either side.
+CROWD = 1000
+#: Surroundings of one refined key that a task orders at once; keys with more take the exact way over hashes of windows.
+HUGE = 65_000
 #: Surroundings that are ordered together, whole anchors at a time.
 TOGETHER = 12_000
 _BASE = 0x9E3779B97F4A7C15
@@ -281,6 +283,23 @@ def _window_rows(length: int, gram: int) -> Callable[[Batches], Batches]:
     return run
 
 
+def _refined(rows: DataFrame, length: int, gram: int, huge: int) -> DataFrame:
+    """Surroundings of crowded anchors under two longer keys each, where such a key occurs more than once; `huge` says how often.
+
+    A window reaches `half` bytes or more beyond its anchor on at least one side, so equal windows share the anchor with
+    as many bytes after it, or with as many before it.
+    """
+    half = -(-(length - gram) // 2)
+    after = F.when(F.octet_length("bytes") - F.col("ahead") >= gram + half, F.xxhash64(F.lit(0), F.substring("bytes", F.col("ahead") + 1, F.lit(gram + half))))
+    before = F.when(F.col("ahead") >= half, F.xxhash64(F.lit(1), F.substring("bytes", F.col("ahead") - half + 1, F.lit(gram + half))))
+    rest = [c for c in rows.columns if c not in ("a", "crowded")]
+    keyed = rows.select(*rest, F.explode(F.array_compact(F.array(after, before))).alias("a"))
+    of = F.struct("d1", "d2")
+    several = F.max(F.octet_length("at") > 4).alias("several")
+    shared = keyed.groupBy("a").agg(F.min(of).alias("least"), F.max(of).alias("most"), several, F.count("*").alias("n")).where("least <> most or several")
+    return keyed.join(shared.select("a", (F.col("n") > huge).alias("huge")), "a")
+
+
 def _crowded_spans(rows: DataFrame, length: int, gram: int, later_only: bool) -> DataFrame:
     """Spans of crowded anchors: windows are counted by their hashes, partial sums first, and joined with what repeats."""
     windows = rows.select("first_id", "d1", "d2", "at", "ahead", "bytes").mapInArrow(_window_rows(length, gram), "h1 long, h2 long, first_id long, d1 long, d2 long, lo long, at binary")
@@ -304,7 +323,7 @@ def _crowded_spans(rows: DataFrame, length: int, gram: int, later_only: bool) ->
     return found.select("d1", "d2", "lo", "at", place.eqNullSafe(F.col("least")).alias("earliest")).mapInArrow(spread, _SPANS)
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, gram: int = GRAM, later_only: bool = False, crowd: int = CROWD) -> DataFrame:
+def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, gram: int = GRAM, later_only: bool = False, crowd: int = CROWD, huge: int = HUGE) -> DataFrame:
     """For each distinct text with a repeated string: `d1, d2, first_id, text, lo, hi` (arrays of disjoint ascending spans).
 
     A byte is in a span if it is covered by a string of `length` bytes that starts elsewhere too, in another text or the
@@ -322,9 +341,13 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     held = stored(texts.join(wanted, ["d1", "d2"]), "shared-texts")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     around = held.mapInArrow(_surroundings(length, gram), "a long, crowded boolean, first_id long, d1 long, d2 long, at binary, ahead int, bytes binary")
-    spans = around.where("not crowded").repartition(n, "a").sortWithinPartitions("a").mapInArrow(_order_groups(length, gram, later_only), _SPANS)
+    ordered = lambda rows: rows.repartition(n, "a").sortWithinPartitions("a").mapInArrow(_order_groups(length, gram, later_only), _SPANS)
+    spans = ordered(around.where("not crowded"))
     if held.where(F.exists("wanted", lambda w: w["crowded"])).take(1):
-        spans = spans.union(_crowded_spans(around.where("crowded"), length, gram, later_only))
+        refined = stored(_refined(around.where("crowded"), length, gram, huge), "refined")
+        spans = spans.union(ordered(refined.where("not huge")))
+        if refined.where("huge").take(1):
+            spans = spans.union(_crowded_spans(refined.where("huge"), length, gram, later_only))
     merged = spans.groupBy("d1", "d2").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
     return held.drop("wanted").join(merged, ["d1", "d2"])
 
@@ -343,21 +366,21 @@ def _cut_rows(later_only: bool, with_text: bool) -> Callable[[Batches], Batches]
     return run
 
 
-def _with_cuts(docs: DataFrame, keep: list[Column], text_col: str, id_col: str, with_text: bool, later_only: bool, length: int, gram: int, crowd: int) -> DataFrame:
-    spans = repeated_spans(docs, text_col, id_col, length, gram, later_only, crowd)
+def _with_cuts(docs: DataFrame, keep: list[Column], text_col: str, id_col: str, with_text: bool, later_only: bool, length: int, gram: int, crowd: int, huge: int) -> DataFrame:
+    spans = repeated_spans(docs, text_col, id_col, length, gram, later_only, crowd, huge)
     cuts = stored(spans.select("d1", "d2", "text", "spans").mapInArrow(_cut_rows(later_only, with_text), "d1 long, d2 long, n_removed long, n_spans long, kept string"), "cuts")
     own = docs.select(*keep, *_key(F.col(text_col)), F.col(id_col).cast("long").alias("__id"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("__n"))
     copies = own.where(F.col("__n") >= length).groupBy("d1", "d2").agg(F.count("*").alias("__copies"), F.min("__id").alias("__first"))
     return own.join(cuts, ["d1", "d2"], "left").join(copies.where("__copies > 1"), ["d1", "d2"], "left")
 
 
-def dedup_digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+def dedup_digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, huge: int = HUGE) -> DataFrame:
     """`doc_id, n_bytes, n_removed, n_spans, kept_sha256` of every row: all bytes go that a repeated string covers, the first copy's too.
 
     Null and empty texts, and texts shorter than `length`, keep all they have. Of exact copies all bytes go.
     """
     sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("__sha")
-    rows = _with_cuts(docs, [F.col("doc_id"), sha], "text", "doc_id", False, False, length, gram, crowd)
+    rows = _with_cuts(docs, [F.col("doc_id"), sha], "text", "doc_id", False, False, length, gram, crowd, huge)
     copied = F.col("__copies").isNotNull()
     return rows.select(
         "doc_id",
@@ -368,7 +391,7 @@ def dedup_digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd
     )
 
 
-def remove_later_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+def remove_later_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, huge: int = HUGE) -> DataFrame:
     """All rows and columns of `docs`, without the later copies of strings of `length` bytes in `text_col`; each first copy stays.
 
     First is by (doc_id, place), null ids before all. Where a cut divides a character, its remaining bytes go too. Exact
@@ -376,7 +399,7 @@ def remove_later_copies(docs: DataFrame, text_col: str = "text", id_col: str = "
     """
     names = docs.columns
     kept = [F.struct(*[F.col(c) for c in names]).alias("__row")]
-    rows = _with_cuts(docs, kept, text_col, id_col, True, True, length, gram, crowd)
+    rows = _with_cuts(docs, kept, text_col, id_col, True, True, length, gram, crowd, huge)
     later = F.col("__copies").isNotNull() & ~F.col("__id").eqNullSafe(F.col("__first"))
     text = F.when(later, F.lit("")).otherwise(F.coalesce("kept", F.col(f"__row.`{text_col}`")))
     return rows.select(*[text.alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in names])

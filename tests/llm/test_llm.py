@@ -490,18 +490,18 @@ def texts_with_repeats(seed, length):
     return [*out, out[10], out[10], out[12][: len(out[12]) // 2] + " x " + out[12][len(out[12]) // 2 :]]
 
 
-@pytest.mark.parametrize(("seed", "crowd"), [(1, 20000), (2, 20000), (3, 3)])
-def test_removed_bytes_against_brute_force(spark, seed, crowd):
+@pytest.mark.parametrize(("seed", "crowd", "huge"), [(1, 1000, 20000), (2, 3, 20000), (3, 3, 2), (4, 1, 1)])
+def test_removed_bytes_against_brute_force(spark, seed, crowd, huge):
     length, gram = 100, 24
     texts = texts_with_repeats(seed, length)
     docs = with_clash(spark, list(enumerate(texts))).repartition(3)
     data = [t.encode() for t in texts]
-    got = {r.doc_id: r for r in suffix_dedup.dedup_digests(docs, length, gram, crowd).collect()}
+    got = {r.doc_id: r for r in suffix_dedup.dedup_digests(docs, length, gram, crowd, huge).collect()}
     for i, (t, gone) in enumerate(zip(data, brute_removed(data, length), strict=True)):
         kept = bytes(np.frombuffer(t, np.uint8)[~gone])
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()), i
-    later = {r.doc_id: r.text for r in suffix_dedup.remove_later_copies(docs, length=length, gram=gram, crowd=crowd).collect()}
+    later = {r.doc_id: r.text for r in suffix_dedup.remove_later_copies(docs, length=length, gram=gram, crowd=crowd, huge=huge).collect()}
     for i, (t, gone) in enumerate(zip(data, brute_removed(data, length, True), strict=True)):
         assert later[i] == bytes(np.frombuffer(t, np.uint8)[~gone]).decode("utf-8", "ignore"), i
 
