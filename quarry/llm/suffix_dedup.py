@@ -294,9 +294,8 @@ def _refined(rows: DataFrame, length: int, gram: int, huge: int) -> DataFrame:
     before = F.when(F.col("ahead") >= half, F.xxhash64(F.lit(1), F.substring("bytes", F.col("ahead") - half + 1, F.lit(gram + half))))
     rest = [c for c in rows.columns if c not in ("a", "crowded")]
     keyed = rows.select(*rest, F.explode(F.array_compact(F.array(after, before))).alias("a"))
-    of = F.struct("d1", "d2")
     several = F.max(F.octet_length("at") > 4).alias("several")
-    shared = keyed.groupBy("a").agg(F.min(of).alias("least"), F.max(of).alias("most"), several, F.count("*").alias("n")).where("least <> most or several")
+    shared = keyed.groupBy("a").agg(several, F.count("*").alias("n")).where("n > 1 or several")  # two rows may be places of one text
     return keyed.join(shared.select("a", (F.col("n") > huge).alias("huge")), "a")
 
 

@@ -506,6 +506,23 @@ def test_removed_bytes_against_brute_force(spark, seed, crowd, huge):
         assert later[i] == bytes(np.frombuffer(t, np.uint8)[~gone]).decode("utf-8", "ignore"), i
 
 
+@pytest.mark.parametrize("huge", [20000, 1])
+def test_passage_twice_in_one_text_around_a_crowded_line(spark, huge):
+    length, gram, rnd = 100, 24, random.Random(5)
+    fresh = lambda n: "".join(rnd.choices("abcdefgh ", k=n))
+    texts = []
+    for _ in range(12):
+        line = fresh(60)
+        passage = fresh(50) + line + fresh(50)
+        texts += [fresh(150) + passage + fresh(150) + passage + fresh(150), fresh(90) + line + fresh(90), fresh(90) + line + fresh(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(3)
+    data = [t.encode() for t in texts]
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.dedup_digests(docs, length, gram, 1, huge).collect()}
+    assert got == {i: int(gone.sum()) for i, gone in enumerate(brute_removed(data, length))}
+    later = {r.doc_id: r.text for r in suffix_dedup.remove_later_copies(docs, length=length, gram=gram, crowd=1, huge=huge).collect()}
+    assert later == {i: bytes(np.frombuffer(t, np.uint8)[~gone]).decode() for i, (t, gone) in enumerate(zip(data, brute_removed(data, length, True), strict=True))}
+
+
 def test_repeats_odd_rows(spark):
     docs = with_clash(spark, ODD)
     got = suffix_dedup.dedup_digests(docs).collect()
