@@ -34,8 +34,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near-duplicates."""
-    return simhash.keep_representatives(docs)
+    """One document, the one with the smallest id, of each group of near-duplicates: by SimHash, or 0.8 similar on five-word shingles."""
+    return simhash.keep_representatives(docs, similar=True)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

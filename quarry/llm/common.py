@@ -55,6 +55,8 @@ def column_texts(column: pa.Array) -> list[str]:
 
 #: A word is a run of ASCII letters, digits and non-ASCII bytes; any other run of visible bytes is a word of its own.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff\x00-\x20]+")
+#: Words of shingles: runs of bytes that are not white space.
+WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 

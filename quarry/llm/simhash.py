@@ -8,7 +8,6 @@ There half the radius is 1: each fingerprint emits, for each pair of blocks, its
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import numpy as np
@@ -16,14 +15,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import LOWER, Batches, column_bytes, limit_batches, stored
+from quarry.llm.common import LOWER, WORDS, Batches, column_bytes, limit_batches, stored
 from quarry.llm.components import connected_components
+from quarry.llm.likeness import merge_similar, text_key
 
 RADIUS = 3
 SEED = 42
 #: Fingerprints that meet in one key are compared with each other up to this many; larger meetings take the exact linear way.
 MEETING = 1024
-_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _BLOCKS = ((0, 21), (21, 42), (42, 64))
 
 
@@ -37,7 +36,7 @@ def _signed(x: int) -> int:
 
 def simhash(text: bytes, width: int = 3) -> int:
     """Fingerprint of a text: majority bits of the XXH64 of its word shingles; no words: zero."""
-    words = _WORDS.findall(text.translate(LOWER))
+    words = WORDS.findall(text.translate(LOWER))
     if not words:
         return 0
     joined = b" ".join(words)
@@ -52,16 +51,17 @@ def simhash(text: bytes, width: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """`doc_id, fp` (long, the 64 bits) for every row; a null text is empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, keys: bool = False) -> DataFrame:
+    """`doc_id, fp` (long, the 64 bits) for every row, with `keys` also `d`, the text's key; a null text is empty."""
     limit_batches(docs.sparkSession)
 
     def run(batches: Batches) -> Batches:
         for b in batches:
             fps = [_signed(simhash(t, width)) for t in column_bytes(b.column(1))]
-            yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(fps, pa.int64()), *b.columns[2:]], ["doc_id", "fp", "d"][: b.num_columns])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, fp long")
+    key = [text_key(F.col(text_col)).alias("d")] if keys else []
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col), *key).mapInArrow(run, "doc_id long, fp long" + ", d long" * keys)
 
 
 def _ball() -> list[tuple[int, int]]:
@@ -223,15 +223,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(labelled, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`doc_id, component_id` for every row of `docs`, as `near_duplicates`, but linked also by a similarity of 0.8 on five-word shingles."""
+    prints = stored(fingerprints(docs, id_col, text_col, keys=True), "fingerprints")
+    texts = prints.groupBy("d").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first_id"))
+    grouped = connected_components(link_fingerprints(texts))
+    known = texts.join(grouped, texts["fp"] == grouped["node"], "left").select("d", F.coalesce("component", "fp").alias("component"))
+    merged = merge_similar(docs, stored(known, "linked"), text_col)
+    labelled = texts.select("d", "first_id").join(merged, "d")
+    least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    return prints.join(labelled.join(least, "component").select("d", "component_id"), "d").select("doc_id", "component_id")
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: bool = False) -> DataFrame:
     """The rows of `docs`, all columns, whose id is the component_id of its near-duplicates: one document of each group.
 
+    With `similar`, near-duplicates are also texts with a similarity of 0.8 or more on five-word shingles.
+
     Rows without an id can stand for no group and stay only if no member of their group has one. All rows stay that have an
     id which stands for a group, so rows that repeat an id stay or go together. The decision is joined by id; Spark
     broadcasts it only below its own threshold.
     """
-    judged = near_duplicates(docs, id_col, text_col)
-    kept = judged.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "fingerprint").agg(F.count("*").alias("__times"))
+    judged = similar_documents(docs, id_col, text_col) if similar else near_duplicates(docs, id_col, text_col)
+    kept = judged.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__times"))
     kept = stored(kept.select(F.col("doc_id").alias("__id"), "__times"), "representatives")
     names = docs.columns
     rows = docs.select(F.col(id_col).cast("long").alias("__of"), F.struct(*[F.col(c) for c in names]).alias("__row"))

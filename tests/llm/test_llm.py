@@ -13,7 +13,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, merkle, packing, quality, queries, simhash, suffix_dedup, toxicity, url_filter, warc, webp
+from quarry.llm import bpe, likeness, merkle, packing, quality, queries, simhash, suffix_dedup, toxicity, url_filter, warc, webp
 from quarry.llm.components import connected_components
 
 PATH = public_tokenizers.path(queries.RANKS)
@@ -459,6 +459,44 @@ def test_webp_payloads_and_damage(spark):
     assert len(rows(webp.media_rows(spark.createDataFrame(ODD, DOCS)))) == len(ODD)
 
 
+# similar texts
+
+
+def test_similar_texts_against_all_pairs(spark):
+    rnd, texts = random.Random(8), ["", None, "a b", "A  b", " ".join("x" * 40)]
+    line = " ".join(f"line{i}" for i in range(12))
+    for _ in range(25):
+        words = [f"w{rnd.randrange(9999)}" for _ in range(rnd.choice([12, 40, 150, 600]))]
+        for edits in (0, 1, 1, 2, 3, 6, 10):
+            copy = list(words)
+            for at in rnd.sample(range(len(copy)), min(edits, len(copy) // 10)):
+                copy[at] = f"v{rnd.randrange(9999)}"
+            texts.append(" ".join(copy) + (f" {line}" if rnd.random() < 0.5 else ""))
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(3)
+
+    def words5(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, prints = [words5(t) for t in texts], [simhash.simhash((t or "").encode()) for t in texts]
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) if sets[a] and sets[b] else False
+    label, beyond = list(range(len(texts))), 0
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        near = (prints[a] ^ prints[b]).bit_count() <= 3
+        beyond += alike(a, b) and not near
+        if (near or alike(a, b)) and label[a] != label[b]:
+            label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+    assert beyond > 20
+    assert dict(rows(simhash.similar_documents(docs).select("doc_id", "component_id"))) == dict(enumerate(label))
+    known = docs.select(likeness.text_key(F.col("text")).alias("d")).distinct().withColumn("component", F.col("d"))
+    for sample, frequent in ((1, 0), (8000, 5)):  # the order of shingles changes no result
+        merged = dict(rows(likeness.merge_similar(docs, known, sample=sample, frequent=frequent)))
+        got = [merged[k] for _, k in sorted(rows(docs.select("doc_id", likeness.text_key(F.col("text")))))]
+        assert all(got[a] == got[b] for a, b in itertools.combinations(range(len(texts)), 2) if alike(a, b))
+    kept = simhash.keep_representatives(docs, similar=True)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
+
+
 # repeated strings
 
 

@@ -63,6 +63,25 @@ def test_one_of_each_group(stages):
     assert sorted(r.doc_id for r in kept) == [r.doc_id for i, r in enumerate(rows) if find(i) == i]
 
 
+def test_one_of_each_group_of_similar_texts(stages):
+    docs, kept, _ = stages["simhash near-dedup"]
+    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+    words = [r.text.lower().split() for r in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    prints = [simhash.simhash(r.text.encode()) for r in rows]
+    label, beyond = list(range(len(rows))), 0
+    for a in range(len(rows)):
+        for b in range(a):
+            near = (prints[a] ^ prints[b]).bit_count() <= simhash.RADIUS
+            alike = bool(sets[a]) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+            beyond += alike and not near
+            if (near or alike) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    assert beyond
+    assert sorted(r.doc_id for r in kept) == [rows[i].doc_id for i in sorted(set(label))]
+
+
 def test_later_copies_go(stages):
     docs, kept, _ = stages["suffix-array dedup"]
     n, seen = corpus_pipeline.PASSAGE_BYTES, set()
