@@ -6,27 +6,29 @@ that occur more than once matter. Their surroundings, `length - k` bytes before
 brought together by anchor. There the suffixes of all surroundings are put in order column by column from the right, each
 column by one stable radix pass over the order of the next, with the longest common prefixes of neighbours kept along. In
 suffix order the previous and next smaller positions give each suffix its longest previous factor: it reaches `length` exactly
-if the run of neighbours with common prefixes of `length` or more holds an earlier position.
+if one of the two lies in the run of neighbours with common prefixes of `length` or more.
+
+Anchors at very many places (a licence line, a passage in every third text) are not brought to one task. Their surroundings
+are compared, byte by byte and each in its own task, with those of their earliest place, which is joined to them; windows on
+which both agree are settled. What is left of a surroundings shares more with its like than with that place, and goes on
+under a key that is longer by the byte at which it parted, until no key has many places.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.llm.common import Batches, column_bytes, limit_batches, stored
 
 LENGTH = 400
 GRAM = 64
-#: Anchors in more texts than this are refined: their surroundings are keyed by more of the text on either side.
-CROWD = 1000
-#: Surroundings of one refined key that a task orders at once; keys with more take the exact way over hashes of windows.
-HUGE = 65_000
+#: Places of one anchor, and of one longer key, whose surroundings one task orders; those of keys with more are compared with the earliest.
+CROWD, HUGE = 1000, 1000
 #: Surroundings that are ordered together, whole anchors at a time.
 TOGETHER = 12_000
 _BASE = 0x9E3779B97F4A7C15
@@ -78,6 +80,28 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
     return at, np.concatenate(what)[first].view(np.int64)
 
 
+def previous_smaller(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each value the last place before it, from `first` on, with a smaller value; first - 1 where there is none."""
+    at = np.arange(len(values)) - 1
+    todo = np.flatnonzero(at >= first)
+    while len(todo):
+        todo = todo[values[at[todo]] >= values[todo]]
+        at[todo] = at[at[todo]]  # all between are larger than the value jumped from
+        at[todo] = np.maximum(at[todo], first[todo] - 1)
+        todo = todo[at[todo] >= first[todo]]
+    return at
+
+
+def _has_previous_factor(rank: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether a suffix has an earlier one in its run: the previous or the next smaller position lies in it. `starts`: of the runs."""
+    m = len(rank)
+    sizes = np.diff(np.append(starts, m))
+    first, end = np.repeat(starts, sizes), np.repeat(starts + sizes, sizes)
+    before = previous_smaller(rank, first)
+    after = m - 1 - previous_smaller(rank[::-1], (m - end)[::-1])[::-1]
+    return (before >= first) | (after < end)
+
+
 def repeated_windows(columns: np.ndarray, groups: np.ndarray, rank: np.ndarray, length: int, later_only: bool) -> tuple[np.ndarray, np.ndarray]:
     """First and last start column of the windows of each member that repeat within its group; first > last: none.
 
@@ -111,12 +135,10 @@ def repeated_windows(columns: np.ndarray, groups: np.ndarray, rank: np.ndarray,
         long = common[:m] >= length
         if not long.any():
             continue
+        run = long | np.append(long[1:], False)  # a neighbour has a common prefix of `length` or more
+        found = order[run]
         if later_only:
-            starts = np.flatnonzero(~long)
-            earliest = np.repeat(np.minimum.reduceat(rank[order], starts), np.diff(np.append(starts, m)))
-            found = order[rank[order] != earliest]
-        else:
-            found = order[long | np.append(long[1:], False)]
+            found = found[_has_previous_factor(rank[found], np.flatnonzero(~long[run]))]
         first[found] = c
         last[found] = np.maximum(last[found], c)
     return first, last
@@ -146,22 +168,22 @@ def _key(text: Column) -> list[Column]:
 def _anchor_rows(length: int, gram: int) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         for b in batches:
-            whats, d1, d2, twice = [], [], [], []
+            whats, d1, d2, places = [], [], [], []
             for i, text in enumerate(column_bytes(b.column(2))):
                 what, counts = np.unique(anchors(text, length, gram)[1], return_counts=True)
                 whats.append(what)
-                twice.append(counts > 1)
+                places.append(counts)
                 d1.append(np.full(len(what), b.column(0)[i].as_py(), np.int64))
                 d2.append(np.full(len(what), b.column(1)[i].as_py(), np.int64))
             if whats:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (whats, d1, d2, twice)], ["a", "d1", "d2", "twice"])
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (whats, d1, d2, places)], ["a", "d1", "d2", "places"])
 
     return run
 
 
 def _surroundings(length: int, gram: int) -> Callable[[Batches], Batches]:
     """From (d1, d2, first_id, text, wanted anchors): a row for each anchor and distinct surroundings in the text."""
-    schema = pa.schema([("a", pa.int64()), ("crowded", pa.bool_()), ("first_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("at", pa.binary()), ("ahead", pa.int32()), ("bytes", pa.binary())])
+    schema = pa.schema([("a", pa.int64()), ("crowded", pa.bool_()), ("first_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("at", pa.binary()), ("first", pa.int32()), ("ahead", pa.int32()), ("bytes", pa.binary())])
     before = length - gram
 
     def run(batches: Batches) -> Batches:
@@ -175,7 +197,7 @@ def _surroundings(length: int, gram: int) -> Callable[[Batches], Batches]:
                     if a in wanted:
                         lo = max(0, p - before)
                         places.setdefault((a, p - lo, text[lo : p + length]), []).append(p)
-                rows = [(a, wanted[a], row["first_id"], row["d1"], row["d2"], np.array(ps, "<i4").tobytes(), ahead, s) for (a, ahead, s), ps in places.items()]
+                rows = [(a, wanted[a], row["first_id"], row["d1"], row["d2"], np.array(ps, "<i4").tobytes(), ps[0], ahead, s) for (a, ahead, s), ps in places.items()]
                 for i in range(0, len(rows), 2048):
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 2048], strict=True), schema, strict=True)], schema=schema)
 
@@ -253,73 +275,105 @@ def _order_groups(length: int, gram: int, later_only: bool) -> Callable[[Batches
     return run
 
 
-def _window_rows(length: int, gram: int) -> Callable[[Batches], Batches]:
-    """For crowded anchors: a row for each window around each place, with 128 bits of hash."""
-    before = length - gram
+def _own_spans(at: np.ndarray, ahead: int, size: int, length: int, later_only: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of one surroundings at several places of a text: what is repeated for that reason."""
+    again = (at[1:] if later_only else at) if len(at) > 1 and size >= length else at[:0]
+    return again - ahead, again - ahead + size
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+_ROWS = "first_id long, d1 long, d2 long, at binary, first int, ahead int, bytes binary, lft int, rgt int"
+_PARTED = f"done boolean, lo long, hi long, {_ROWS}"
+
+
+def _against_earliest(length: int, gram: int, later_only: bool) -> Callable[[Batches], Batches]:
+    """From rows with the earliest row of their key as `e`: spans (done), and rows under the longer keys that may share more windows.
+
+    A key stands for an anchor with `lft` bytes before it and `rgt` bytes after it, and for the windows that have them all.
+    """
+    around = length - gram
+    names = [f.split()[0] for f in _PARTED.split(", ")]
+    kinds = {"boolean": pa.bool_(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    schema = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in _PARTED.split(", ")])
 
     def run(batches: Batches) -> Batches:
         for b in batches:
+            out = set()
             for row in b.to_pylist():
-                s, at = row["bytes"], np.frombuffer(row["at"], "<i4").astype(np.int64)
-                starts = np.arange(len(s) - length + 1)
-                if not len(starts):
+                e = row.pop("e")
+                own = [row[n] for n in names[3:]]
+                s, t = np.frombuffer(row["bytes"], np.uint8), np.frombuffer(e["bytes"], np.uint8)
+                at, ahead, lft, rgt = np.frombuffer(row["at"], "<i4").astype(np.int64), row["ahead"], row["lft"], row["rgt"]
+                here = (row["first_id"], row["d1"], row["d2"])
+                for lo, hi in zip(*(x.tolist() for x in _own_spans(at, ahead, len(s), length, later_only)), strict=True):
+                    out.add((True, lo, hi, *here, *[None] * 6))
+                if here == (e["first_id"], e["d1"], e["d2"]) and at[0] == e["first"]:
                     continue
-                h = [xxhash.xxh3_128_intdigest(s[i : i + length]) for i in starts.tolist()]
-                begin = at[0] - row["ahead"] + starts
-                n = len(starts)
-                yield pa.record_batch(
-                    [
-                        pa.array(np.array([x >> 64 for x in h], np.uint64).view(np.int64)),
-                        pa.array(np.array([x & (1 << 64) - 1 for x in h], np.uint64).view(np.int64)),
-                        pa.array([row["first_id"]] * n, pa.int64()),
-                        pa.array(np.full(n, row["d1"], np.int64)),
-                        pa.array(np.full(n, row["d2"], np.int64)),
-                        pa.array(begin.astype(np.int64)),
-                        pa.array([row["at"]] * n, pa.binary()),
-                    ],
-                    ["h1", "h2", "first_id", "d1", "d2", "lo", "at"],
-                )
+                left = min(_common(s[:ahead][::-1], t[: e["ahead"]][::-1]), around)
+                right = min(_common(s[ahead:], t[e["ahead"] :]) - gram, around)
+                if left < lft or right < rgt:  # only the key's hash is the same: next time the row meets its like without this place
+                    out.add((False, None, None, *own))
+                    continue
+                lowest, highest = max(lft, around - right), min(left, around - rgt)  # bytes before the anchor, of windows on which both agree
+                if lowest <= highest:
+                    out.add((True, int(at[0]) - highest, int(at[0]) + length - lowest, *here, *[None] * 6))
+                    if not later_only:
+                        out.add((True, e["first"] - highest, e["first"] + length - lowest, e["first_id"], e["d1"], e["d2"], *[None] * 6))
+                if left + 1 <= min(around - rgt, ahead):
+                    out.add((False, None, None, *own[:-2], left + 1, rgt))
+                if right + 1 <= min(around - lft, len(s) - ahead - gram):
+                    out.add((False, None, None, *own[:-2], lft, right + 1))
+            if out:
+                rows = list(out)
+                for i in range(0, len(rows), 4096):
+                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 4096], strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
-def _refined(rows: DataFrame, length: int, gram: int, huge: int) -> DataFrame:
-    """Surroundings of crowded anchors under two longer keys each, where such a key occurs more than once; `huge` says how often.
+def _halves(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """Surroundings of crowded anchors under two longer keys each.
 
     A window reaches `half` bytes or more beyond its anchor on at least one side, so equal windows share the anchor with
     as many bytes after it, or with as many before it.
     """
     half = -(-(length - gram) // 2)
-    after = F.when(F.octet_length("bytes") - F.col("ahead") >= gram + half, F.xxhash64(F.lit(0), F.substring("bytes", F.col("ahead") + 1, F.lit(gram + half))))
-    before = F.when(F.col("ahead") >= half, F.xxhash64(F.lit(1), F.substring("bytes", F.col("ahead") - half + 1, F.lit(gram + half))))
-    rest = [c for c in rows.columns if c not in ("a", "crowded")]
-    keyed = rows.select(*rest, F.explode(F.array_compact(F.array(after, before))).alias("a"))
-    several = F.max(F.octet_length("at") > 4).alias("several")
-    shared = keyed.groupBy("a").agg(several, F.count("*").alias("n")).where("n > 1 or several")  # two rows may be places of one text
-    return keyed.join(shared.select("a", (F.col("n") > huge).alias("huge")), "a")
-
-
-def _crowded_spans(rows: DataFrame, length: int, gram: int, later_only: bool) -> DataFrame:
-    """Spans of crowded anchors: windows are counted by their hashes, partial sums first, and joined with what repeats."""
-    windows = rows.select("first_id", "d1", "d2", "at", "ahead", "bytes").mapInArrow(_window_rows(length, gram), "h1 long, h2 long, first_id long, d1 long, d2 long, lo long, at binary")
-    windows = stored(windows, "windows")
-    place = F.struct(F.col("first_id").isNotNull().alias("known"), "first_id", "d1", "d2", "lo")
-    repeated = windows.groupBy("h1", "h2").agg(F.min(place).alias("least"), F.max(place).alias("most"), F.max(F.octet_length("at") > 4).alias("several")).where("least <> most or several")
-    found = windows.join(repeated, ["h1", "h2"])
-
-    def spread(batches: Batches) -> Batches:
-        for b in batches:
-            spans = []
-            for row in b.to_pylist():
-                places = np.frombuffer(row["at"], "<i4").astype(np.int64)
-                lo = places - places[0] + row["lo"]
-                lo = lo[1:] if row["earliest"] and later_only else lo
-                if len(lo):
-                    spans.append((row["d1"], row["d2"], *merge_spans(lo, lo + length)))
-            if spans:
-                yield _emit(spans)
-
-    return found.select("d1", "d2", "lo", "at", place.eqNullSafe(F.col("least")).alias("earliest")).mapInArrow(spread, _SPANS)
+    after = F.when(F.octet_length("bytes") - F.col("ahead") >= gram + half, F.struct(F.lit(0).alias("lft"), F.lit(half).alias("rgt")))
+    before = F.when(F.col("ahead") >= half, F.struct(F.lit(half).alias("lft"), F.lit(0).alias("rgt")))
+    return rows.select("*", F.explode(F.array_compact(F.array(after, before))).alias("k")).select("*", "k.lft", "k.rgt").select([f.split()[0] for f in _ROWS.split(", ")])
+
+
+def _shared_keys(rows: DataFrame, gram: int, huge: int) -> DataFrame:
+    """Rows under the hash `a` of their key, where it has another place, and whether more places than `huge` have it."""
+    key = F.xxhash64("lft", "rgt", F.substring(F.col("bytes"), F.col("ahead") - F.col("lft") + 1, F.col("lft") + F.lit(gram) + F.col("rgt")))
+    rows = rows.withColumn("a", key)
+    shared = rows.groupBy("a").agg(F.count("*").alias("n"), F.max(F.octet_length("at")).alias("most")).where("n > 1 or most > 4")
+    return rows.join(shared.select("a", (F.col("n") > huge).alias("crowded")), "a")
+
+
+def _crowded_spans(rows: DataFrame, length: int, gram: int, later_only: bool, huge: int, order: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Spans around crowded anchors. Each round parts what shares a key; keys grow by a byte or more, so the rounds end."""
+    spans, rows = [], _halves(rows, length, gram)
+    place = [F.col("first_id").isNotNull().alias("known"), *[F.col(c) for c in ("first_id", "d1", "d2", "first")]]
+    while True:
+        rows = stored(_shared_keys(rows, gram, huge), "refined")
+        spans.append(order(rows.where("not crowded")))
+        crowded = rows.where("crowded").drop("crowded")
+        if not crowded.take(1):
+            break
+        earliest = crowded.groupBy("a").agg(F.min(F.struct(*place, "ahead", "bytes")).alias("e"))
+        parted = stored(crowded.join(earliest, "a").drop("a").mapInArrow(_against_earliest(length, gram, later_only), _PARTED), "parted")
+        spans.append(parted.where("done").select("d1", "d2", "lo", "hi").distinct())
+        rows = parted.where("not done").drop("done", "lo", "hi")
+    out = spans[0]
+    for s in spans[1:]:
+        out = out.union(s)
+    return out
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, gram: int = GRAM, later_only: bool = False, crowd: int = CROWD, huge: int = HUGE) -> DataFrame:
@@ -327,66 +381,90 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
     A byte is in a span if it is covered by a string of `length` bytes that starts elsewhere too, in another text or the
     same; with `later_only` the earliest place of each string, by (smallest doc_id of its text, place), stays out. Exact
-    copies count as one text here. Texts are shuffled twice: once by key, and only those with shared anchors again.
+    copies count as one text here. Texts are told apart by 128 bits of hash, which fail for any two of 10**12 texts with a
+    probability of 10**-15; strings are told apart by their bytes. Texts are shuffled twice: once by key, and only those
+    with shared anchors again.
     """
     spark = docs.sparkSession
     limit_batches(spark)
     keyed = docs.select(*_key(F.col(text_col)), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"))
-    rows = keyed.select("d1", "d2", "text").mapInArrow(_anchor_rows(length, gram), "a long, d1 long, d2 long, twice boolean")
+    rows = keyed.select("d1", "d2", "text").mapInArrow(_anchor_rows(length, gram), "a long, d1 long, d2 long, places long")
     of = F.struct("d1", "d2")
-    shared = rows.groupBy("a").agg(F.min(of).alias("least"), F.max(of).alias("most"), F.max("twice").alias("twice"), F.count("*").alias("n")).where("least <> most or twice")
+    shared = rows.groupBy("a").agg(F.min(of).alias("least"), F.max(of).alias("most"), F.max("places").alias("twice"), F.sum("places").alias("n")).where("least <> most or twice > 1")
     wanted = rows.join(shared.select("a", (F.col("n") > crowd).alias("crowded")), "a").groupBy("d1", "d2").agg(F.collect_set(F.struct("a", "crowded")).alias("wanted"))
     texts = keyed.groupBy("d1", "d2").agg(F.min("id").alias("first_id"), F.first("text").alias("text"))
     held = stored(texts.join(wanted, ["d1", "d2"]), "shared-texts")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    around = held.mapInArrow(_surroundings(length, gram), "a long, crowded boolean, first_id long, d1 long, d2 long, at binary, ahead int, bytes binary")
+    around = held.mapInArrow(_surroundings(length, gram), "a long, crowded boolean, first_id long, d1 long, d2 long, at binary, first int, ahead int, bytes binary")
     ordered = lambda rows: rows.repartition(n, "a").sortWithinPartitions("a").mapInArrow(_order_groups(length, gram, later_only), _SPANS)
     spans = ordered(around.where("not crowded"))
     if held.where(F.exists("wanted", lambda w: w["crowded"])).take(1):
-        refined = stored(_refined(around.where("crowded"), length, gram, huge), "refined")
-        spans = spans.union(ordered(refined.where("not huge")))
-        if refined.where("huge").take(1):
-            spans = spans.union(_crowded_spans(refined.where("huge"), length, gram, later_only))
+        spans = spans.union(_crowded_spans(around.where("crowded"), length, gram, later_only, huge, ordered))
     merged = spans.groupBy("d1", "d2").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
     return held.drop("wanted").join(merged, ["d1", "d2"])
 
 
-def _cut_rows(later_only: bool, with_text: bool) -> Callable[[Batches], Batches]:
+def _cut_rows() -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         for b in batches:
             out = []
             for row in b.to_pylist():
                 text = (row["text"] or "").encode()
                 lo, hi = merge_spans(np.array([s["lo"] for s in row["spans"]], np.int64), np.array([s["hi"] for s in row["spans"]], np.int64))
-                kept = cut(text, lo.tolist(), hi.tolist())
-                out.append((row["d1"], row["d2"], int((hi - lo).sum()), len(lo), kept.decode("utf-8", "ignore") if with_text else hashlib.sha256(kept).hexdigest()))
-            yield pa.record_batch([pa.array([r[i] for r in out], pa.int64() if i < 4 else pa.string()) for i in range(5)], ["d1", "d2", "n_removed", "n_spans", "kept"])
+                out.append((row["d1"], row["d2"], [{"lo": x, "hi": y} for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], cut(text, lo.tolist(), hi.tolist())))
+            span = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+            yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), span, pa.binary()))], ["d1", "d2", "removed", "kept"])
 
     return run
 
 
-def _with_cuts(docs: DataFrame, keep: list[Column], text_col: str, id_col: str, with_text: bool, later_only: bool, length: int, gram: int, crowd: int, huge: int) -> DataFrame:
+def removed_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", later_only: bool = False, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, huge: int = HUGE) -> DataFrame:
+    """All rows and columns of `docs` as the struct `__row`, with `removed` (array of lo, hi: disjoint ascending byte spans) and `kept` (binary: the other bytes).
+
+    Removed are all bytes that a repeated string of `length` bytes covers; with `later_only` the first copy of each stays,
+    by (doc_id, place), null ids before all. Exact copies of a text of `length` bytes or more go whole: all of them, or with
+    `later_only` all but those with the smallest id. Null, empty and shorter texts keep all they have.
+    """
     spans = repeated_spans(docs, text_col, id_col, length, gram, later_only, crowd, huge)
-    cuts = stored(spans.select("d1", "d2", "text", "spans").mapInArrow(_cut_rows(later_only, with_text), "d1 long, d2 long, n_removed long, n_spans long, kept string"), "cuts")
-    own = docs.select(*keep, *_key(F.col(text_col)), F.col(id_col).cast("long").alias("__id"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("__n"))
-    copies = own.where(F.col("__n") >= length).groupBy("d1", "d2").agg(F.count("*").alias("__copies"), F.min("__id").alias("__first"))
-    return own.join(cuts, ["d1", "d2"], "left").join(copies.where("__copies > 1"), ["d1", "d2"], "left")
+    cuts = stored(spans.select("d1", "d2", "text", "spans").mapInArrow(_cut_rows(), "d1 long, d2 long, removed array<struct<lo: long, hi: long>>, kept binary"), "cuts")
+    names = docs.columns
+    own = docs.select(F.struct(*[F.col(c) for c in names]).alias("__row"), *_key(F.col(text_col)), F.col(id_col).cast("long").alias("__id"))
+    sized = docs.select(*_key(F.col(text_col)), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).alias("__n"), F.col(id_col).cast("long").alias("__id")).where(F.col("__n") >= length)
+    copies = sized.groupBy("d1", "d2").agg(F.count("*").alias("__copies"), F.min("__id").alias("__first")).where("__copies > 1")
+    rows = own.join(cuts, ["d1", "d2"], "left").join(copies, ["d1", "d2"], "left")
+    gone = F.col("__copies").isNotNull()
+    if later_only:
+        gone = gone & ~F.col("__id").eqNullSafe(F.col("__first"))
+    text = F.coalesce(F.col(f"__row.`{text_col}`"), F.lit("")).cast("binary")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.octet_length(text).cast("long").alias("hi")))
+    none = F.array().cast("array<struct<lo: long, hi: long>>")
+    return rows.select("__row", F.when(gone, whole).otherwise(F.coalesce("removed", none)).alias("removed"), F.when(gone, F.lit(b"")).otherwise(F.coalesce("kept", text)).alias("kept"))
+
+
+def readable(kept: Column) -> Column:
+    """Kept bytes as text. Where a cut divides a character, its remaining bytes go too."""
+
+    @F.pandas_udf("string")
+    def decoded(column: pd.Series) -> pd.Series:
+        return column.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+    return F.when(F.is_valid_utf8(kept), kept.cast("string")).otherwise(decoded(kept))
 
 
 def dedup_digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, huge: int = HUGE) -> DataFrame:
-    """`doc_id, n_bytes, n_removed, n_spans, kept_sha256` of every row: all bytes go that a repeated string covers, the first copy's too.
+    """`doc_id, n_bytes, n_removed, n_spans, kept_sha256, text` of every row, from `removed_spans`; `text` is what is left, as text.
 
-    Null and empty texts, and texts shorter than `length`, keep all they have. Of exact copies all bytes go.
+    Null and empty texts, and texts shorter than `length`, keep all they have; a null text gives an empty one. Of exact copies all bytes go.
     """
-    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("__sha")
-    rows = _with_cuts(docs, [F.col("doc_id"), sha], "text", "doc_id", False, False, length, gram, crowd, huge)
-    copied = F.col("__copies").isNotNull()
+    rows = removed_spans(docs.select("doc_id", "text"), length=length, gram=gram, crowd=crowd, huge=huge)
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
     return rows.select(
-        "doc_id",
-        F.col("__n").alias("n_bytes"),
-        F.when(copied, F.col("__n")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copied, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copied, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept", "__sha")).alias("kept_sha256"),
+        F.col("__row.doc_id").alias("doc_id"),
+        F.octet_length(F.coalesce("__row.text", F.lit(""))).cast("long").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+        readable(F.col("kept")).alias("text"),
     )
 
 
@@ -395,10 +473,9 @@ def remove_later_copies(docs: DataFrame, text_col: str = "text", id_col: str = "
 
     First is by (doc_id, place), null ids before all. Where a cut divides a character, its remaining bytes go too. Exact
     copies of a text of `length` bytes or more become empty, but for one with the smallest id (all of those with that id).
+    Null texts stay null.
     """
-    names = docs.columns
-    kept = [F.struct(*[F.col(c) for c in names]).alias("__row")]
-    rows = _with_cuts(docs, kept, text_col, id_col, True, True, length, gram, crowd, huge)
-    later = F.col("__copies").isNotNull() & ~F.col("__id").eqNullSafe(F.col("__first"))
-    text = F.when(later, F.lit("")).otherwise(F.coalesce("kept", F.col(f"__row.`{text_col}`")))
-    return rows.select(*[text.alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in names])
+    rows = removed_spans(docs, text_col, id_col, True, length, gram, crowd, huge)
+    old = F.col(f"__row.`{text_col}`")
+    text = F.when(F.size("removed") == 0, old).otherwise(readable(F.col("kept")))
+    return rows.select(*[text.alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
