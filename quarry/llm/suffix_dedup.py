@@ -8,10 +8,11 @@ column by one stable radix pass over the order of the next, with the longest com
 suffix order the previous and next smaller positions give each suffix its longest previous factor: it reaches `length` exactly
 if one of the two lies in the run of neighbours with common prefixes of `length` or more.
 
-Anchors at very many places (a licence line, a passage in every third text) are not brought to one task. Their surroundings
-are compared, byte by byte and each in its own task, with those of their earliest place, which is joined to them; windows on
-which both agree are settled. What is left of a surroundings shares more with its like than with that place, and goes on
-under a key that is longer by the byte at which it parted, until no key has many places.
+Anchors at very many places (a licence line, a passage in every third text) are not brought to one task. Equal surroundings
+become one, the earliest, by a partial aggregation. Then each is compared, byte by byte and where it lies, with the commonest
+of its key, which is joined to it: of the windows on which both agree, the earliest place is the least of a partial aggregation,
+and all other places are later copies. What is left of a surroundings shares more with its like than with the commonest, and
+goes on under a key that is longer by the byte at which it parted, until no key has many places.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from quarry.llm.common import Batches, column_bytes, limit_batches, stored
 LENGTH = 400
 GRAM = 64
 #: Places of one anchor, and of one longer key, whose surroundings one task orders; those of keys with more are compared with the earliest.
-CROWD, HUGE = 1000, 1000
+CROWD, HUGE = 500, 500
 #: Surroundings that are ordered together, whole anchors at a time.
 TOGETHER = 12_000
 _BASE = 0x9E3779B97F4A7C15
@@ -275,67 +276,156 @@ def _order_groups(length: int, gram: int, later_only: bool) -> Callable[[Batches
     return run
 
 
-def _own_spans(at: np.ndarray, ahead: int, size: int, length: int, later_only: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Of one surroundings at several places of a text: what is repeated for that reason."""
-    again = (at[1:] if later_only else at) if len(at) > 1 and size >= length else at[:0]
-    return again - ahead, again - ahead + size
-
-
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     n = min(len(a), len(b))
     differ = np.flatnonzero(a[:n] != b[:n])
     return int(differ[0]) if len(differ) else n
 
 
-_ROWS = "first_id long, d1 long, d2 long, at binary, first int, ahead int, bytes binary, lft int, rgt int"
-_PARTED = f"done boolean, lo long, hi long, {_ROWS}"
+_ROWS = "first_id long, d1 long, d2 long, at binary, first int, ahead int, bytes binary, weight long, lft int, rgt int"
+_PARTED = f"agreed boolean, a long, low int, high int, {_ROWS}"
+_KINDS = {"boolean": pa.bool_(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+
+
+def _arrow(schema: str) -> pa.Schema:
+    return pa.schema([(f.split()[0], _KINDS[f.split()[1]]) for f in schema.split(", ")])
+
 
+def _record(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-def _against_earliest(length: int, gram: int, later_only: bool) -> Callable[[Batches], Batches]:
-    """From rows with the earliest row of their key as `e`: spans (done), and rows under the longer keys that may share more windows.
 
-    A key stands for an anchor with `lft` bytes before it and `rgt` bytes after it, and for the windows that have them all.
+def _against_commonest(length: int, gram: int) -> Callable[[Batches], Batches]:
+    """From rows with the commonest of their key as `e`: the windows on which both agree, and rows under the longer keys that may share more.
+
+    A key stands for an anchor with `lft` bytes before it and `rgt` bytes after it, and for the windows that have them all; a
+    window is named by how many of its bytes lie before the anchor, from `low` to `high`.
     """
-    around = length - gram
-    names = [f.split()[0] for f in _PARTED.split(", ")]
-    kinds = {"boolean": pa.bool_(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    schema = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in _PARTED.split(", ")])
+    around, schema = length - gram, _arrow(_PARTED)
 
     def run(batches: Batches) -> Batches:
         for b in batches:
-            out = set()
+            out = []
             for row in b.to_pylist():
-                e = row.pop("e")
-                own = [row[n] for n in names[3:]]
+                e, a = row.pop("e"), row.pop("a")
+                own = [row[f.split()[0]] for f in _ROWS.split(", ")]
                 s, t = np.frombuffer(row["bytes"], np.uint8), np.frombuffer(e["bytes"], np.uint8)
-                at, ahead, lft, rgt = np.frombuffer(row["at"], "<i4").astype(np.int64), row["ahead"], row["lft"], row["rgt"]
-                here = (row["first_id"], row["d1"], row["d2"])
-                for lo, hi in zip(*(x.tolist() for x in _own_spans(at, ahead, len(s), length, later_only)), strict=True):
-                    out.add((True, lo, hi, *here, *[None] * 6))
-                if here == (e["first_id"], e["d1"], e["d2"]) and at[0] == e["first"]:
-                    continue
+                ahead, lft, rgt = row["ahead"], row["lft"], row["rgt"]
                 left = min(_common(s[:ahead][::-1], t[: e["ahead"]][::-1]), around)
                 right = min(_common(s[ahead:], t[e["ahead"] :]) - gram, around)
-                if left < lft or right < rgt:  # only the key's hash is the same: next time the row meets its like without this place
-                    out.add((False, None, None, *own))
+                if left < lft or right < rgt:  # only the key's hash is the same: next time the row meets its like without the commonest
+                    out.append((False, None, None, None, *own))
                     continue
-                lowest, highest = max(lft, around - right), min(left, around - rgt)  # bytes before the anchor, of windows on which both agree
-                if lowest <= highest:
-                    out.add((True, int(at[0]) - highest, int(at[0]) + length - lowest, *here, *[None] * 6))
-                    if not later_only:
-                        out.add((True, e["first"] - highest, e["first"] + length - lowest, e["first_id"], e["d1"], e["d2"], *[None] * 6))
+                low, high = max(lft, around - right), min(left, around - rgt)
+                if low <= high:
+                    out.append((True, a, low, high, *own[:-4], None, *own[-3:]))
                 if left + 1 <= min(around - rgt, ahead):
-                    out.add((False, None, None, *own[:-2], left + 1, rgt))
+                    out.append((False, None, None, None, *own[:-2], left + 1, rgt))
                 if right + 1 <= min(around - lft, len(s) - ahead - gram):
-                    out.add((False, None, None, *own[:-2], lft, right + 1))
-            if out:
-                rows = list(out)
-                for i in range(0, len(rows), 4096):
-                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 4096], strict=True), schema, strict=True)], schema=schema)
+                    out.append((False, None, None, None, *own[:-2], lft, right + 1))
+            for i in range(0, len(out), 4096):
+                yield _record(out[i : i + 4096], schema)
+
+    return run
+
+
+#: Rows whose windows are summed up together.
+_SUMMED = 1 << 14
+
+
+def _least_places(around: int) -> Callable[[Batches], Batches]:
+    """Of each key and window, the earliest place in some rows and how many have it."""
+    schema = _arrow("a long, w int, known boolean, first_id long, d1 long, d2 long, first int, n long")
+
+    def summed(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        rows.sort(key=lambda r: (r[3] is not None, r[3] or 0, *r[4:]))
+        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for i, (a, low, high, *_) in enumerate(rows):
+            owner, n = found.setdefault(a, (np.full(around + 1, -1), np.zeros(around + 1, np.int64)))
+            part = owner[low : high + 1]
+            part[part < 0] = i
+            n[low : high + 1] += 1
+        out = [(a, w, rows[i][3] is not None, *rows[i][3:], n) for a, (owner, ns) in found.items() for w, (i, n) in enumerate(zip(owner.tolist(), ns.tolist(), strict=True)) if n]
+        for i in range(0, len(out), 8192):
+            yield _record(out[i : i + 8192], schema)
+
+    def run(batches: Batches) -> Batches:
+        held: list[tuple] = []
+        for b in batches:
+            held += zip(*[c.to_pylist() for c in b.columns], strict=True)
+            if len(held) >= _SUMMED:
+                yield from summed(held)
+                held = []
+        if held:
+            yield from summed(held)
 
     return run
 
 
+_RUNS = "a long, runs array<struct<low: int, high: int, place: struct<first_id: long, d1: long, d2: long, first: int>>>"
+
+
+def _owners(batches: Batches) -> Batches:
+    """Of each key the runs of repeated windows that have one earliest place."""
+    place = pa.struct([("first_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("first", pa.int32())])
+    kind = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32()), ("place", place)]))
+    for b in batches:
+        out = []
+        for windows in b.column(1).to_pylist():
+            runs: list[dict] = []
+            for x in sorted(windows, key=lambda x: x["w"]):
+                if x["n"] < 2:
+                    continue
+                if runs and runs[-1]["high"] == x["w"] - 1 and runs[-1]["place"] == x["p"]:
+                    runs[-1]["high"] = x["w"]
+                else:
+                    runs.append({"low": x["w"], "high": x["w"], "place": x["p"]})
+            out.append(runs)
+        yield pa.record_batch([b.column(0), pa.array(out, kind)], ["a", "runs"])
+
+
+def _later_windows(length: int, later_only: bool) -> Callable[[Batches], Batches]:
+    """From windows on which rows agree, with the `runs` of their key: the spans of the repeated ones."""
+
+    def run(batches: Batches) -> Batches:
+        for b in batches:
+            spans = []
+            for row in b.to_pylist():
+                here = {k: row[k] for k in ("first_id", "d1", "d2", "first")}
+                cuts = [(max(row["low"], r["low"]), min(row["high"], r["high"])) for r in row["runs"] if not (later_only and r["place"] == here)]
+                lo = np.array([row["first"] - high for low, high in cuts if low <= high], np.int64)
+                hi = np.array([row["first"] + length - low for low, high in cuts if low <= high], np.int64)
+                if len(lo):
+                    spans.append((row["d1"], row["d2"], *merge_spans(lo, hi)))
+            if spans:
+                yield _emit(spans)
+
+    return run
+
+
+def _equal_surroundings(rows: DataFrame, length: int, later_only: bool) -> tuple[DataFrame, DataFrame]:
+    """Spans of surroundings that occur more than once, whole; and the earliest row of each, with its number as `weight`."""
+    same = ["a", "ahead", "bytes"]
+    place = F.struct(F.col("first_id").isNotNull().alias("known"), "first_id", "d1", "d2", "first")
+    counted = rows.groupBy(*same).agg(F.sum(F.octet_length("at") / 4).cast("long").alias("weight"), F.min(place).alias("least")).where("weight > 1")
+    marked = stored(rows.join(counted, same, "left").withColumn("earliest", F.coalesce(place == F.col("least"), F.lit(True))), "surroundings")
+
+    def run(batches: Batches) -> Batches:
+        for b in batches:
+            spans = []
+            for row in b.to_pylist():
+                lo = np.frombuffer(row["at"], "<i4").astype(np.int64) - row["ahead"]
+                lo = lo[1:] if later_only and row["earliest"] else lo
+                if len(lo):
+                    spans.append((row["d1"], row["d2"], *merge_spans(lo, lo + row["size"])))
+            if spans:
+                yield _emit(spans)
+
+    whole = marked.where(F.col("weight").isNotNull() & (F.octet_length("bytes") >= length)).select("d1", "d2", "at", "ahead", "earliest", F.octet_length("bytes").alias("size"))
+    kept = marked.where("earliest").select("first_id", "d1", "d2", F.substring("at", 1, 4).alias("at"), "first", "ahead", "bytes", F.coalesce("weight", F.lit(1)).cast("long").alias("weight"))
+    return whole.mapInArrow(run, _SPANS), kept
+
+
 def _halves(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """Surroundings of crowded anchors under two longer keys each.
 
@@ -349,27 +439,33 @@ def _halves(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _shared_keys(rows: DataFrame, gram: int, huge: int) -> DataFrame:
-    """Rows under the hash `a` of their key, where it has another place, and whether more places than `huge` have it."""
+    """Rows under the hash `a` of their key, where another place has it, and whether more places than `huge` have it."""
     key = F.xxhash64("lft", "rgt", F.substring(F.col("bytes"), F.col("ahead") - F.col("lft") + 1, F.col("lft") + F.lit(gram) + F.col("rgt")))
     rows = rows.withColumn("a", key)
-    shared = rows.groupBy("a").agg(F.count("*").alias("n"), F.max(F.octet_length("at")).alias("most")).where("n > 1 or most > 4")
+    shared = rows.groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
     return rows.join(shared.select("a", (F.col("n") > huge).alias("crowded")), "a")
 
 
 def _crowded_spans(rows: DataFrame, length: int, gram: int, later_only: bool, huge: int, order: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Spans around crowded anchors. Each round parts what shares a key; keys grow by a byte or more, so the rounds end."""
-    spans, rows = [], _halves(rows, length, gram)
-    place = [F.col("first_id").isNotNull().alias("known"), *[F.col(c) for c in ("first_id", "d1", "d2", "first")]]
+    whole, rows = _equal_surroundings(rows, length, later_only)
+    spans, rows = [whole], _halves(rows, length, gram)
     while True:
         rows = stored(_shared_keys(rows, gram, huge), "refined")
         spans.append(order(rows.where("not crowded")))
         crowded = rows.where("crowded").drop("crowded")
         if not crowded.take(1):
             break
-        earliest = crowded.groupBy("a").agg(F.min(F.struct(*place, "ahead", "bytes")).alias("e"))
-        parted = stored(crowded.join(earliest, "a").drop("a").mapInArrow(_against_earliest(length, gram, later_only), _PARTED), "parted")
-        spans.append(parted.where("done").select("d1", "d2", "lo", "hi").distinct())
-        rows = parted.where("not done").drop("done", "lo", "hi")
+        rank = F.struct((-F.col("weight")).alias("weight"), F.col("first_id").isNotNull().alias("known"), "first_id", "d1", "d2", "first", "ahead", "bytes")
+        commonest = crowded.groupBy("a").agg(F.min(rank).alias("e"))
+        parted = stored(crowded.join(commonest, "a").mapInArrow(_against_commonest(length, gram), _PARTED), "parted")
+        agreed = parted.where("agreed").select("a", "low", "high", "first_id", "d1", "d2", "first")
+        least = agreed.mapInArrow(_least_places(length - gram), "a long, w int, known boolean, first_id long, d1 long, d2 long, first int, n long")
+        least = least.groupBy("a", "w").agg(F.min(F.struct("known", "first_id", "d1", "d2", "first")).alias("p"), F.sum("n").alias("n"))
+        least = least.select("a", F.struct("w", "n", F.struct("p.first_id", "p.d1", "p.d2", "p.first").alias("p")).alias("x"))
+        runs = least.groupBy("a").agg(F.collect_list("x").alias("least")).mapInArrow(_owners, _RUNS)  # windows of one anchor: one for each byte around it
+        spans.append(agreed.join(runs, "a").select("first_id", "d1", "d2", "first", "low", "high", "runs").mapInArrow(_later_windows(length, later_only), _SPANS))
+        rows = parted.where("not agreed").drop("agreed", "a", "low", "high")
     out = spans[0]
     for s in spans[1:]:
         out = out.union(s)
