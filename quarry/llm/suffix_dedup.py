@@ -362,26 +362,23 @@ def _least_places(around: int) -> Callable[[Batches], Batches]:
     return run
 
 
-_RUNS = "a long, runs array<struct<low: int, high: int, place: struct<first_id: long, d1: long, d2: long, first: int>>>"
-
-
 def _owners(batches: Batches) -> Batches:
-    """Of each key the runs of repeated windows that have one earliest place."""
-    place = pa.struct([("first_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("first", pa.int32())])
-    kind = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32()), ("place", place)]))
+    """Of each key the runs of repeated windows that have one earliest place: rows of (low, high, has an id, first_id, d1, d2, first) in 64 bits each."""
     for b in batches:
         out = []
         for windows in b.column(1).to_pylist():
-            runs: list[dict] = []
+            runs: list[list[int]] = []
             for x in sorted(windows, key=lambda x: x["w"]):
                 if x["n"] < 2:
                     continue
-                if runs and runs[-1]["high"] == x["w"] - 1 and runs[-1]["place"] == x["p"]:
-                    runs[-1]["high"] = x["w"]
+                p = x["p"]
+                place = [int(p["first_id"] is not None), p["first_id"] or 0, p["d1"], p["d2"], p["first"]]
+                if runs and runs[-1][1] == x["w"] - 1 and runs[-1][2:] == place:
+                    runs[-1][1] = x["w"]
                 else:
-                    runs.append({"low": x["w"], "high": x["w"], "place": x["p"]})
-            out.append(runs)
-        yield pa.record_batch([b.column(0), pa.array(out, kind)], ["a", "runs"])
+                    runs.append([x["w"], x["w"], *place])
+            out.append(np.array(runs, np.int64).tobytes())
+        yield pa.record_batch([b.column(0), pa.array(out, pa.binary())], ["a", "runs"])
 
 
 def _later_windows(length: int, later_only: bool) -> Callable[[Batches], Batches]:
@@ -389,14 +386,16 @@ def _later_windows(length: int, later_only: bool) -> Callable[[Batches], Batches
 
     def run(batches: Batches) -> Batches:
         for b in batches:
-            spans = []
-            for row in b.to_pylist():
-                here = {k: row[k] for k in ("first_id", "d1", "d2", "first")}
-                cuts = [(max(row["low"], r["low"]), min(row["high"], r["high"])) for r in row["runs"] if not (later_only and r["place"] == here)]
-                lo = np.array([row["first"] - high for low, high in cuts if low <= high], np.int64)
-                hi = np.array([row["first"] + length - low for low, high in cuts if low <= high], np.int64)
-                if len(lo):
-                    spans.append((row["d1"], row["d2"], *merge_spans(lo, hi)))
+            spans, known, held = [], None, np.zeros((0, 7), np.int64)
+            for first_id, d1, d2, first, low, high, runs in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if runs != known:
+                    known, held = runs, np.frombuffer(runs, np.int64).reshape(-1, 7)
+                lo, hi = np.maximum(held[:, 0], low), np.minimum(held[:, 1], high)
+                ok = lo <= hi
+                if later_only:
+                    ok &= (held[:, 2:] != np.array([first_id is not None, first_id or 0, d1, d2, first], np.int64)).any(axis=1)
+                if ok.any():
+                    spans.append((d1, d2, *merge_spans(first - hi[ok], first + length - lo[ok])))
             if spans:
                 yield _emit(spans)
 
@@ -463,7 +462,7 @@ def _crowded_spans(rows: DataFrame, length: int, gram: int, later_only: bool, hu
         least = agreed.mapInArrow(_least_places(length - gram), "a long, w int, known boolean, first_id long, d1 long, d2 long, first int, n long")
         least = least.groupBy("a", "w").agg(F.min(F.struct("known", "first_id", "d1", "d2", "first")).alias("p"), F.sum("n").alias("n"))
         least = least.select("a", F.struct("w", "n", F.struct("p.first_id", "p.d1", "p.d2", "p.first").alias("p")).alias("x"))
-        runs = least.groupBy("a").agg(F.collect_list("x").alias("least")).mapInArrow(_owners, _RUNS)  # windows of one anchor: one for each byte around it
+        runs = least.groupBy("a").agg(F.collect_list("x").alias("least")).mapInArrow(_owners, "a long, runs binary")  # windows of one anchor: one for each byte around it
         spans.append(agreed.join(runs, "a").select("first_id", "d1", "d2", "first", "low", "high", "runs").mapInArrow(_later_windows(length, later_only), _SPANS))
         rows = parted.where("not agreed").drop("agreed", "a", "low", "high")
     out = spans[0]
@@ -527,7 +526,8 @@ def removed_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     own = docs.select(F.struct(*[F.col(c) for c in names]).alias("__row"), *_key(F.col(text_col)), F.col(id_col).cast("long").alias("__id"))
     sized = docs.select(*_key(F.col(text_col)), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).alias("__n"), F.col(id_col).cast("long").alias("__id")).where(F.col("__n") >= length)
     copies = sized.groupBy("d1", "d2").agg(F.count("*").alias("__copies"), F.min("__id").alias("__first")).where("__copies > 1")
-    rows = own.join(cuts, ["d1", "d2"], "left").join(copies, ["d1", "d2"], "left")
+    decided = stored(cuts.join(copies, ["d1", "d2"], "full"), "decided")  # a table of its own, so that the join of a text in very many rows can be split
+    rows = own.join(decided, ["d1", "d2"], "left")
     gone = F.col("__copies").isNotNull()
     if later_only:
         gone = gone & ~F.col("__id").eqNullSafe(F.col("__first"))
