@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,31 +18,70 @@ BATCH_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor can reach: `spark.checkpoint.dir` of the session.
+    """The folder that every executor can reach: `spark.checkpoint.dir` of the session, or the context's checkpoint folder.
 
-    Only where no folder is configured (tests in local mode) a fresh one is set.
+    Only a local master without either gets a fresh folder; on a cluster that would lie on one machine, so it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not configured:
         chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
         if chosen.isDefined():
             return chosen.get()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
         spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 
+#: Tables that `stored` has written in this process and `release` has not deleted yet.
+_WRITTEN: list[str] = []
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as Parquet under the shared folder and read it back: lineage is cut, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> list[str]:
+    """The tables that `stored` has written in this process and that are still there."""
+    return list(_WRITTEN)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete tables of `stored`, all or those in `paths`; nothing that was built on them can be computed afterwards. Returns their number."""
+    gone = written() if paths is None else [p for p in paths if p in _WRITTEN]
+    for p in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _WRITTEN.remove(p)
+    return len(gone)
+
+
 def limit_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches sent to Python, so that very long texts cannot add up to gigabytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bound the Arrow batches sent to Python, so that very long texts cannot add up to gigabytes.
+
+    Spark reads the setting when a result is computed, so it is left in the session.
+    """
+    spark.conf.set(_RECORDS, str(rows))
+
+
+_RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Other Arrow batches for what is computed inside; the setting before holds again afterwards."""
+    before = spark.conf.get(_RECORDS)
+    spark.conf.set(_RECORDS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_RECORDS, before)
 
 
 def column_bytes(column: pa.Array) -> list[bytes]:

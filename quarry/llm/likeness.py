@@ -1,14 +1,14 @@
-"""Links between texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, exactly.
+"""Links between texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Shingles have one order for the whole corpus, those that are frequent in a sample last. Of n shingles the first
-n - ceil(0.8 n) + 1 are a text's prefix, and texts of that similarity share a shingle of their prefixes, whatever the order is.
-Texts that meet in such a shingle, of different components as far as they are known, are candidates unless their sizes or the
-counts of their shingles in buckets rule them out; what is left is compared by whole sets.
+SimHash alone cannot find them: at that similarity two fingerprints of 64 bits differ in ten bits on average, and balls of half
+that radius have millions of variants. So candidates are texts that share a band: five minima of their shingles under five
+orders. Of 24 bands, two texts of similarity 0.8 share none with a probability of 7 in 100,000, of 0.85 with 2 in a million;
+nothing else is lost. Candidates are compared by their whole sets, so no link is invented.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +19,13 @@ from quarry.llm.common import LOWER, WORDS, Batches, column_bytes, limit_batches
 from quarry.llm.components import connected_components
 
 SHINGLE = 5
-#: Texts whose shingles are counted for the order, and the most shingles that it puts last; both change the cost, no result.
-SAMPLE = 20_000
-FREQUENT = 200_000
+BANDS, ROWS = 24, 5
 #: Rounds in which texts are compared with one of each meeting only, before all that still differ in component are.
 STARS = 2
 #: Pairs that a task compares before it yields candidates.
 _PAIRS = 1 << 20
 _BUCKETS = 128
+_MIX = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, np.uint64) | np.uint64(1)
 
 
 def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
@@ -44,70 +43,48 @@ def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
     return np.unique(out.view(np.int64))
 
 
+def bands(s: np.ndarray) -> np.ndarray:
+    """`BANDS` keys (int64) of a set of shingles; none of an empty set."""
+    if not len(s):
+        return s
+    s = s.view(np.uint64)
+    s = s ^ s >> np.uint64(32)
+    least = np.array([(s * m).min() for m in _MIX]).reshape(BANDS, ROWS)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for i in range(ROWS):
+        out = (out ^ least[:, i]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def signature(s: np.ndarray) -> bytes:
+    """How many shingles fall into each bucket, at most 255."""
+    return np.minimum(np.bincount(s & _BUCKETS - 1, minlength=_BUCKETS), 255).astype(np.uint8).tobytes()
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Jaccard similarity of two sets of 0.8 or more."""
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
-def _prefixes(frequent: tuple[np.ndarray, np.ndarray]) -> Callable[[Batches], Batches]:
-    hashes, counts = frequent
-
-    def run(batches: Batches) -> Batches:
-        for b in batches:
-            keys, lengths = [np.zeros(0, np.int64)], []
-            for text in column_bytes(b.column(1)):
-                s = shingles(text)
-                n = len(s)
-                prefix = n + (-4 * n // 5) + 1 if n else 0
-                order = s
-                if len(hashes) and n:
-                    at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
-                    order = s[np.argsort(np.where(hashes[at] == s, counts[at], 0), kind="stable")]
-                keys.append(order[:prefix])
-                lengths.append(prefix)
-            d = np.repeat(b.column(0).to_numpy(), lengths)
-            yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(d)], ["key", "d"])
-
-    return run
-
-
-def _shared(batches: Batches) -> Batches:
-    """Of rows sorted by (key, d), each once: those whose key another d has too."""
-    names, carry, met = ["key", "d"], None, False
-    for b in batches:
-        if not b.num_rows:
-            continue
-        cols = [b.column(i).to_numpy() for i in range(2)]
-        if carry is not None:
-            cols = [np.concatenate([x, y]) for x, y in zip(carry, cols, strict=True)]
-        once = np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])])
-        cols = [c[once] for c in cols]
-        same = np.concatenate([[met], cols[0][1:] == cols[0][:-1]])
-        keep = same | np.append(same[1:], False)
-        met, carry = bool(same[-1]), [c[-1:] for c in cols]
-        out = [c[:-1][keep[:-1]] for c in cols]
-        if len(out[0]):
-            yield pa.record_batch([pa.array(c) for c in out], names)
-    if met:
-        yield pa.record_batch([pa.array(c) for c in carry], names)
-
-
-def _signatures(batches: Batches) -> Batches:
-    """Of each text the number of shingles and how many fall into each bucket, at most 255."""
-    for b in batches:
-        sets = [shingles(t) for t in column_bytes(b.column(1))]
-        counts = [np.minimum(np.bincount(s & _BUCKETS - 1, minlength=_BUCKETS), 255).astype(np.uint8).tobytes() for s in sets]
-        yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(counts, pa.binary())], ["d", "n", "h"])
-
-
 def _counts(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, _BUCKETS)
 
 
+def _may_be_similar(n: np.ndarray, m: np.ndarray, counts: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """By sizes, and since a similarity of 0.8 leaves (n + m) / 9 or fewer shingles in only one of two sets."""
+    differ = np.abs(counts.astype(np.int16) - others.astype(np.int16)).sum(axis=1, dtype=np.int64)
+    return (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * differ <= n + m)
+
+
 def _meetings(batches: Batches) -> Iterator[list[np.ndarray]]:
-    """Columns of whole keys at a time, of rows sorted by key."""
+    """Columns of whole keys at a time, of rows (key, d, n, component, h) sorted by key."""
     held: list[pa.RecordBatch] = []
+
+    def columns(t: pa.Table) -> list[np.ndarray]:
+        return [*(t[i].to_numpy() for i in range(4)), _counts(t["h"])]
+
     for b in batches:
         if not b.num_rows:
             continue
@@ -115,50 +92,36 @@ def _meetings(batches: Batches) -> Iterator[list[np.ndarray]]:
         held.append(b)
         if first != last or held[0].column(0)[0].as_py() != last:
             t = pa.Table.from_batches(held)
-            keys = t["key"].to_numpy()
-            cut = int(np.searchsorted(keys, last))
-            yield [*(t[i].to_numpy()[:cut] for i in range(4)), _counts(t["h"].slice(0, cut))]
+            cut = int(np.searchsorted(t["key"].to_numpy(), last))
+            yield columns(t.slice(0, cut))
             held = t.slice(cut).combine_chunks().to_batches()
     if held:
-        t = pa.Table.from_batches(held)
-        yield [*(t[i].to_numpy() for i in range(4)), _counts(t["h"])]
-
-
-def _candidates(stars: bool) -> Callable[[Batches], Batches]:
-    """Pairs (x < y) that meet, differ in component and may be similar; with `stars` only those with the first of a meeting."""
-
-    def run(batches: Batches) -> Batches:
-        xs, ys, waiting = [], [], 0
-
-        def out() -> pa.RecordBatch:
-            pairs = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)]), axis=1)
-            return pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["x", "y"])
-
-        for key, d, n, component, counts in _meetings(batches):
-            if not len(key):
-                continue
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            for s, e in zip(starts.tolist(), np.append(starts[1:], len(key)).tolist(), strict=True):
-                if e - s < 2 or (component[s:e] == component[s]).all():
-                    continue
-                for i in [s] if stars else range(s, e - 1):
-                    r = slice(i + 1, e)
-                    low, high = np.minimum(n[i], n[r]), np.maximum(n[i], n[r])
-                    at = np.flatnonzero((component[r] != component[i]) & (5 * low >= 4 * high)) + i + 1
-                    # A similarity of 0.8 leaves (|a| + |b|) / 9 or fewer shingles in only one of two sets.
-                    differ = np.abs(counts[at].astype(np.int16) - counts[i].astype(np.int16)).sum(axis=1, dtype=np.int64)
-                    other = d[at[9 * differ <= n[at] + n[i]]]
-                    if len(other):
-                        xs.append(np.minimum(other, d[i]))
-                        ys.append(np.maximum(other, d[i]))
-                        waiting += len(other)
-                    if waiting >= _PAIRS:
-                        yield out()
-                        xs, ys, waiting = [], [], 0
-        if xs:
-            yield out()
-
-    return run
+        yield columns(pa.Table.from_batches(held))
+
+
+def _all_pairs(batches: Batches) -> Batches:
+    """Pairs (x < y) that meet, differ in component and may be similar."""
+    xs, ys, waiting = [], [], 0
+
+    def out() -> pa.RecordBatch:
+        pairs = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)]), axis=1)
+        return pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["x", "y"])
+
+    for key, d, n, component, counts in _meetings(batches):
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else []
+        for s, e in zip(starts, np.append(starts[1:], len(key)), strict=True):
+            for i in range(s, e - 1):
+                r = np.flatnonzero(component[i + 1 : e] != component[i]) + i + 1
+                other = d[r[_may_be_similar(n[r], n[i], counts[r], counts[i])]]
+                if len(other):
+                    xs.append(np.minimum(other, d[i]))
+                    ys.append(np.maximum(other, d[i]))
+                    waiting += len(other)
+                if waiting >= _PAIRS:
+                    yield out()
+                    xs, ys, waiting = [], [], 0
+    if xs:
+        yield out()
 
 
 def _sets(batches: Batches) -> Batches:
@@ -173,43 +136,60 @@ def _verified(batches: Batches) -> Batches:
         yield pa.record_batch([b.column(0).filter(ok), b.column(1).filter(ok)], ["u", "v"])
 
 
-def _frequent(texts: DataFrame, sample: int, frequent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of shingles that three or more texts of a sample have."""
-    share = -(-max(1, texts.count()) // sample)
-
-    def run(batches: Batches) -> Batches:
-        for b in batches:
-            yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.int64), *map(shingles, column_bytes(b.column(0)))]))], ["key"])
-
-    some = texts.where(F.pmod("d", F.lit(share)) == 0).select("text").mapInArrow(run, "key long")
-    rows = some.groupBy("key").agg(F.count("*").alias("n")).where("n >= 3").orderBy(F.desc("n"), "key").limit(frequent).toArrow()
-    keys, counts = rows["key"].to_numpy(), rows["n"].to_numpy()
-    order = np.argsort(keys)
-    return keys[order], counts[order]
-
-
 def text_key(text: Column) -> Column:
     """64 bits that stand for a text; null is empty."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def merge_similar(docs: DataFrame, known: DataFrame, text_col: str = "text", sample: int = SAMPLE, frequent: int = FREQUENT) -> DataFrame:
-    """`known` (d, component: long; a row for each text of `docs`, by `text_key`) with the components that similar texts connect merged.
+def _not_ruled_out(pairs: DataFrame, known: DataFrame, of: DataFrame) -> DataFrame:
+    """Pairs (x, y) whose components differ and that sizes and signatures don't rule out."""
 
-    A merged component has the smallest of its labels.
+    def run(batches: Batches) -> Batches:
+        for b in batches:
+            if b.num_rows:
+                ok = pa.array(_may_be_similar(b.column(2).to_numpy(), b.column(3).to_numpy(), _counts(b.column(4)), _counts(b.column(5))))
+                yield pa.record_batch([b.column(0).filter(ok), b.column(1).filter(ok)], ["x", "y"])
+
+    apart = pairs
+    for c in "xy":
+        apart = apart.join(of.select(F.col("d").alias(c), F.col("component").alias(f"c{c}")), c)
+    apart = apart.where("cx <> cy").select("x", "y")
+    for c in "xy":
+        apart = apart.join(known.select(F.col("d").alias(c), F.col("n").alias(f"n{c}"), F.col("h").alias(f"h{c}")), c)
+    return apart.select("x", "y", "nx", "ny", "hx", "hy").mapInArrow(run, "x long, y long")
+
+
+def merge_similar(docs: DataFrame, known: DataFrame, text_col: str = "text") -> DataFrame:
+    """`d, component` of each text: those of `known` with the components that similar texts connect merged.
+
+    `known` (d, component, n: long, h: binary, bands: array<long>) has a row for each text of `docs`, by `text_key`, with the
+    number of its shingles, their `signature` and `bands`. A merged component has the smallest of its labels. In a meeting of
+    a band, texts are first compared with one of them only, and components merged; meetings whose texts still differ in
+    component are then compared in all. No meeting is brought together for that before.
     """
     spark = docs.sparkSession
     limit_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(text_key(F.col(text_col)).alias("d"), F.col(text_col).alias("text"))
-    order = _frequent(texts, sample, frequent)
-    rows = texts.mapInArrow(_prefixes(order), "key long, d long").repartition(n, "key").sortWithinPartitions("key", "d")
-    rows = stored(rows.mapInArrow(_shared, "key long, d long"), "meeting-texts")
-    signatures = stored(texts.mapInArrow(_signatures, "d long, n long, h binary").dropDuplicates(["d"]), "signatures")
-    for i in range(STARS + 1):
-        placed = rows.join(signatures.join(known, "d"), "d").select("key", "d", "n", "component", "h").repartition(n, "key")
-        placed = placed.sortWithinPartitions("key", F.xxhash64(F.lit(i), "key", "d"), "d")
-        pairs = stored(placed.mapInArrow(_candidates(i < STARS), "x long, y long").distinct(), "candidates")
+    of = known.select("d", "component")
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        ends = [f(c).alias(f"{name}_{c}") for c in ("d", "component") for f, name in ((F.min, "least"), (F.max, "most"))]
+        return rows.groupBy("key").agg(*ends).where("least_component <> most_component")
+
+    rows = known.select(F.explode("bands").alias("key"), "d", "component")
+    rows = stored(rows.join(mixed(rows).select("key"), "key", "left_semi").select("key", "d"), "meetings")
+    for turn in range(STARS + 1):
+        placed = rows.join(of, "d")
+        still = mixed(placed)
+        if turn < STARS:
+            centre = still.select("key", F.col("most_d" if turn else "least_d").alias("e"))
+            pairs = rows.join(centre, "key").where("d <> e").select(F.least("d", "e").alias("x"), F.greatest("d", "e").alias("y")).distinct()
+            pairs = _not_ruled_out(pairs, known, of)
+        else:
+            met = placed.join(still.select("key"), "key", "left_semi").join(known.select("d", "n", "h"), "d").select("key", "d", "n", "component", "h")
+            pairs = met.repartition(n, "key").sortWithinPartitions("key", "d").mapInArrow(_all_pairs, "x long, y long").distinct()
+        pairs = stored(pairs, "candidates")
         if not pairs.take(1):
             continue
         wanted = pairs.select(F.col("x").alias("d")).union(pairs.select("y")).distinct()
@@ -217,8 +197,8 @@ def merge_similar(docs: DataFrame, known: DataFrame, text_col: str = "text", sam
         sets = stored(sets, "shingles")
         both = pairs.join(sets.toDF("x", "a"), "x").join(sets.toDF("y", "b"), "y").select("x", "y", "a", "b")
         links = both.mapInArrow(_verified, "u long, v long")
-        u, v = (known.select(F.col("d").alias(c), F.col("component").alias(f"c{c}")) for c in "uv")
+        u, v = (of.select(F.col("d").alias(c), F.col("component").alias(f"c{c}")) for c in "uv")
         merged = connected_components(links.join(u, "u").join(v, "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
-        known = known.join(merged, known["component"] == merged["node"], "left").select("d", F.coalesce(merged["component"], known["component"]).alias("component"))
-        known = stored(known, "merged")
-    return known
+        of = of.join(merged, of["component"] == merged["node"], "left").select("d", F.coalesce(merged["component"], of["component"]).alias("component"))
+        of = stored(of, "merged")
+    return of

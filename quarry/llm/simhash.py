@@ -15,9 +15,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import LOWER, WORDS, Batches, column_bytes, limit_batches, stored
+from quarry.llm.common import LOWER, WORDS, Batches, column_bytes, batches_of, limit_batches, stored
 from quarry.llm.components import connected_components
-from quarry.llm.likeness import merge_similar, text_key
+from quarry.llm.likeness import bands, merge_similar, shingles, signature, text_key
 
 RADIUS = 3
 SEED = 42
@@ -51,17 +51,24 @@ def simhash(text: bytes, width: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, keys: bool = False) -> DataFrame:
-    """`doc_id, fp` (long, the 64 bits) for every row, with `keys` also `d`, the text's key; a null text is empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similar: bool = False) -> DataFrame:
+    """`doc_id, fp` (long, the 64 bits) for every row; with `similar` also what links texts by likeness: `d` (the text's key), `n`, `h` and `bands`. A null text is empty."""
     limit_batches(docs.sparkSession)
+    names = ["doc_id", "fp", "d", "n", "h", "bands"]
 
     def run(batches: Batches) -> Batches:
         for b in batches:
-            fps = [_signed(simhash(t, width)) for t in column_bytes(b.column(1))]
-            yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(fps, pa.int64()), *b.columns[2:]], ["doc_id", "fp", "d"][: b.num_columns])
+            texts = column_bytes(b.column(1))
+            out = [b.column(0).cast(pa.int64()), pa.array([_signed(simhash(t, width)) for t in texts], pa.int64())]
+            if similar:
+                sets = [shingles(t) for t in texts]
+                keys = pa.array([bands(s).tolist() for s in sets], pa.list_(pa.int64()))
+                out += [b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()), keys]
+            yield pa.record_batch(out, names[: len(out)])
 
-    key = [text_key(F.col(text_col)).alias("d")] if keys else []
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col), *key).mapInArrow(run, "doc_id long, fp long" + ", d long" * keys)
+    key = [text_key(F.col(text_col)).alias("d")] if similar else []
+    more = ", d long, n long, h binary, bands array<long>" if similar else ""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col), *key).mapInArrow(run, "doc_id long, fp long" + more)
 
 
 def _ball() -> list[tuple[int, int]]:
@@ -198,10 +205,12 @@ def link_fingerprints(fps: DataFrame, radius: int = RADIUS, meeting: int = MEETI
     """
     if radius != RADIUS:
         raise ValueError("the blocks are laid out for a radius of 3")
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fps.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    met = _variants(fps.select("fp").distinct()).select("key", "fp").repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_meet(radius, meeting), "hot boolean, u long, v long")
-    met = stored(met, "meetings")
+    spark = fps.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    distinct = fps.select("fp").distinct().repartition(n)  # few bytes, but each row becomes 131: one task each for them all would not do
+    met = _variants(distinct).select("key", "fp").repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_meet(radius, meeting), "hot boolean, u long, v long")
+    with batches_of(spark, 20_000):  # narrow rows
+        met = stored(met, "meetings")
     edges = met.where("not hot").select("u", "v")
     hot = met.where("hot").select(F.col("u").alias("fp")).distinct()
     return edges.union(_hot_links(hot)) if hot.take(1) else edges
@@ -225,11 +234,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`doc_id, component_id` for every row of `docs`, as `near_duplicates`, but linked also by a similarity of 0.8 on five-word shingles."""
-    prints = stored(fingerprints(docs, id_col, text_col, keys=True), "fingerprints")
-    texts = prints.groupBy("d").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first_id"))
-    grouped = connected_components(link_fingerprints(texts))
-    known = texts.join(grouped, texts["fp"] == grouped["node"], "left").select("d", F.coalesce("component", "fp").alias("component"))
-    merged = merge_similar(docs, stored(known, "linked"), text_col)
+    prints = stored(fingerprints(docs, id_col, text_col, similar=True), "fingerprints")
+    texts = prints.groupBy("d").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "h", "bands")])
+    grouped = connected_components(link_fingerprints(prints.select("fp")))
+    known = texts.join(grouped, texts["fp"] == grouped["node"], "left").select("d", "first_id", "n", "h", "bands", F.coalesce("component", "fp").alias("component"))
+    texts = known = stored(known, "linked")
+    merged = merge_similar(docs, known, text_col)
     labelled = texts.select("d", "first_id").join(merged, "d")
     least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
     return prints.join(labelled.join(least, "component").select("d", "component_id"), "d").select("doc_id", "component_id")

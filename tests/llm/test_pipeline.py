@@ -60,7 +60,8 @@ def test_one_of_each_group(stages):
         for j in np.flatnonzero(np.bitwise_count(prints[:i] ^ prints[i]) <= 3):
             a, b = find(i), find(int(j))
             label[max(a, b)] = min(a, b)
-    assert sorted(r.doc_id for r in kept) == [r.doc_id for i, r in enumerate(rows) if find(i) == i]
+    # The stage links more than these (the next test holds it to all links), so of each group at most the smallest id stays.
+    assert {r.doc_id for r in kept} <= {r.doc_id for i, r in enumerate(rows) if find(i) == i}
 
 
 def test_one_of_each_group_of_similar_texts(stages):
