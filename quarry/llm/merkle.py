@@ -25,6 +25,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 from quarry.llm.common import Batches, column_texts, limit_batches
 
 PHRASE_BYTES = 240
+#: Bytes of text in a range of neighbours, at most about.
+RANGE_BYTES = 64 << 20
 _WORDS = re.compile(rb"\S+\s*|\s+")
 
 #: (digest, leaves) of a paragraph, where a leaf is (digest, bytes); (digest, paragraphs) of a section; (root, sections).
@@ -155,34 +157,42 @@ def fingerprint_documents(docs: DataFrame, text_col: str = "text", id_col: str =
 def with_next(docs: DataFrame, make, schema: str, partitions: int | None = None) -> DataFrame:
     """Rows `make(doc_id, text, next_text)` over (doc_id, text), where next is the next row in ascending (doc_id, text), after the last the first.
 
-    Null ids come first, null texts are empty, a single row is its own next. One shuffle: rows go to ranges of doc_id, and
-    the first row of each range goes to the range before as well. The driver receives a bound and the first id of each range.
+    Null ids come first, null texts are empty, a single row is its own next. One shuffle: rows go to ranges of doc_id, each of
+    about `RANGE_BYTES` of text, and the first row of each range goes to the range before as well. The driver receives the
+    bytes, bound and first id of each range, whose number grows with the input.
     """
     spark = docs.sparkSession
     limit_batches(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds = docs.agg(F.percentile_approx("id", [i / n for i in range(1, n)] if n > 1 else [0.5], 10_000)).first()[0]
-    bounds = sorted(set(bounds or []))
-
-    def range_of(ids):
-        return np.searchsorted(bounds, ids, side="right")
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // RANGE_BYTES) + 1)
+    fine = 8 * n  # by count first, then as many neighbours together as make up a share of the bytes
+    bounds = docs.agg(F.percentile_approx("id", [i / fine for i in range(1, fine)], 10 * fine)).first()[0]
+    bounds = np.array(sorted(set(bounds or [])), np.int64)
 
     @F.pandas_udf(IntegerType())
-    def own_range(ids: pd.Series) -> pd.Series:
-        return pd.Series(range_of(ids.to_numpy()).astype("int32"))
-
-    firsts = {r[0]: r[1] for r in docs.groupBy(own_range("id").alias("r")).agg(F.min("id")).collect()}
-    ranges = sorted(firsts)
-    before = {firsts[r]: ranges[i - 1] for i, r in enumerate(ranges)}  # of the first row of a range: the range before
+    def fine_range(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="right").astype("int32"))
+
+    found = sorted(docs.groupBy(fine_range("id").alias("r")).agg(F.min("id"), F.sum(F.octet_length("text").cast("long") + 1)).collect())
+    share = sum(r[2] for r in found) / n
+    range_of_fine, firsts, held = np.zeros(len(bounds) + 1, np.int64), [], 0.0
+    for r, first, size in found:
+        if not firsts or held + size / 2 > share * len(firsts) and len(firsts) < n:
+            firsts.append(first)
+        range_of_fine[r] = len(firsts) - 1
+        held += size
+    before = {first: i - 1 for i, first in enumerate(firsts) if i}  # of the first row of a range: the range before
+    if firsts:
+        before[firsts[0]] = len(firsts) - 1
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def ranges_of(ids: pd.Series) -> pd.Series:
-        return pd.Series([[r, -1 - before[i]] if i in before else [r] for r, i in zip(range_of(ids.to_numpy()).tolist(), ids.tolist(), strict=True)])
+        own = range_of_fine[np.searchsorted(bounds, ids.to_numpy(), side="right")]
+        return pd.Series([[r, -1 - before[i]] if i in before else [r] for r, i in zip(own.tolist(), ids.tolist(), strict=True)])
 
     spread = docs.select("*", F.explode(ranges_of("id")).alias("to"))
     spread = spread.select("id", "no_id", "text", F.when(F.col("to") < 0, -1 - F.col("to")).otherwise(F.col("to")).alias("r"), (F.col("to") < 0).alias("guest"))
-    lined = spread.repartition(n, "r").sortWithinPartitions("r", "guest", "id", "text")
+    lined = spread.repartitionById(n, F.col("r")).sortWithinPartitions("r", "guest", "id", "text")
 
     def run(batches: Batches) -> Batches:
         last = None  # the row that still waits for its next
