@@ -2,6 +2,9 @@
 
 With the class prior p, positives P and unlabelled texts U, the risk is p E_P[l(+)] + max(0, E_U[l(-)] - p E_P[l(-)]).
 Where the part in max() turns negative, the classifier has begun to memorise; the update then goes the other way.
+
+All unlabelled texts are learnt from: groups of about `GROUP` of them, dealt by hash, are each fitted with all positives in a
+task of their own, and the mean of the models, weighted by their texts, is the classifier.
 """
 
 from __future__ import annotations
@@ -17,8 +20,12 @@ from quarry.llm.common import LOWER, WORD, Batches, column_bytes, limit_batches
 from quarry.llm.quality import score_texts, sigmoid, training_texts
 
 BITS = 18
-#: The most confirmed toxic and unlabelled texts that training gathers: the first of each by hash of doc_id.
-POSITIVES, UNLABELLED = 3000, 9000
+#: The most confirmed toxic texts that training gathers: the first by hash of doc_id.
+POSITIVES = 3000
+#: Unlabelled texts that are fitted together, about.
+GROUP = 8000
+#: Weights are added up as whole multiples of this, so that their order changes nothing.
+_UNIT = 2.0**-18
 THRESHOLD = 0.3
 #: Lengths in bytes of the beginnings of words that are features besides the words.
 PREFIXES = (5, 7)
@@ -52,6 +59,13 @@ def scores(texts: list[bytes], model: Model) -> np.ndarray:
     return sigmoid(np.array([model.bias + float(model.weights[word_buckets(t, bits)].sum(dtype=float)) for t in texts]).reshape(len(texts)))
 
 
+def known_buckets(positive: list[np.ndarray], size: int) -> np.ndarray:
+    """The buckets that may have a weight, ascending."""
+    if not positive:
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.bincount(np.concatenate(positive), minlength=size) >= min(max(LEAST_TEXTS, LEAST_SHARE * len(positive)), len(positive)))
+
+
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, bits: int = BITS, epochs: int = 12, batch: int = 512, rate: float = 0.2, l1: float = 1e-3, seed: int = 1) -> Model:
     """Minimise the non-negative risk under the logistic loss by mini-batches of AdaGrad steps; rows are sets of buckets.
 
@@ -62,8 +76,8 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     w, b = np.zeros(size), start
     if not positive or not unlabelled:
         return Model(w.astype(np.float32), b)
-    known = np.bincount(np.concatenate(positive), minlength=size) >= min(max(LEAST_TEXTS, LEAST_SHARE * len(positive)), len(positive))
-    rows = [r[known[r]] for r in positive + unlabelled]
+    known = known_buckets(positive, size)
+    rows = [r[np.isin(r, known)] for r in positive + unlabelled]
     squares, square_b = np.full(size, 1e-6), 1e-6
     mean_w, mean_b, averaged = np.zeros(size), 0.0, 0
     rng = np.random.default_rng(seed)
@@ -96,29 +110,81 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     return Model(mean_w.astype(np.float32), float(mean_b))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", keep: str = "true", positives: int = POSITIVES, unlabelled: int = UNLABELLED, bits: int = BITS) -> Model:
+def _positive_sets(docs: DataFrame, known: DataFrame, positives: int, bits: int) -> list[np.ndarray]:
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = known.where("y = 1").select("doc_id").distinct().orderBy(*order).limit(positives).withColumn("p", F.lit(True))
+
+    def run(batches: Batches) -> Batches:
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array([word_buckets(t, bits).astype(np.uint32).tobytes() for t in column_bytes(b.column(1))], pa.binary())], ["doc_id", "buckets"])
+
+    rows = training_texts(docs, chosen, ["p"]).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, buckets binary")
+    return [np.frombuffer(x, np.uint32).astype(np.int64) for x in rows.orderBy(*order).toArrow()["buckets"].to_pylist()]
+
+
+def _fit_groups(positive, known, prior: float, bits: int):
+    """Of rows (g, order, buckets) sorted by group: each group's weights, as multiples of `_UNIT` times the group's rows; bucket -1 is the bias, -2 counts the rows."""
+
+    def fitted(rows: list[bytes]) -> pa.RecordBatch:
+        places = known.value  # models of the known buckets alone, by their place
+        model = fit_nnpu(positive.value, [np.frombuffer(r, np.uint32).astype(np.int64) for r in rows], prior, max(len(places), 1).bit_length())
+        used = np.flatnonzero(model.weights)
+        values = np.concatenate([model.weights[used].astype(float), [model.bias]])
+        whole = np.append(np.round(values / _UNIT).astype(np.int64) * len(rows), len(rows))
+        return pa.record_batch([pa.array(np.concatenate([places[used], [-1, -2]])), pa.array(whole)], ["bucket", "weight"])
+
+    def run(batches: Batches) -> Batches:
+        now, rows = None, []
+        for b in batches:
+            for g, buckets in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if g != now and rows:
+                    yield fitted(rows)
+                    rows = []
+                now = g
+                rows.append(buckets)
+        if rows:
+            yield fitted(rows)
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", keep: str = "true", positives: int = POSITIVES, bits: int = BITS, group: int = GROUP) -> Model:
     """Fit from documents labelled 1 and from unlabelled documents, for which the SQL condition `keep` on doc_id holds.
 
     Labels of 0 are never read as negatives; they only help to estimate the class prior, the share of 1 among labels kept.
-    Any document may serve as unlabelled. Bounded samples, the first by hash of doc_id, reach the driver as sets of buckets.
+    Every document for which `keep` holds serves as unlabelled, rows without an id and repeated rows too. The driver gathers
+    the sets of buckets of at most `positives` texts, and a weight for each of the buckets that they have.
     """
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).where(keep).select("doc_id", F.col(label_col).alias("y"))
-    prior = known.agg(F.avg("y")).first()[0]
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    of_p = known.where("y = 1").select("doc_id").distinct().orderBy(*order).limit(positives).withColumn("p", F.lit(True))
-    of_u = docs.select("doc_id").where("doc_id is not null").where(keep).distinct().orderBy(*order).limit(unlabelled).withColumn("p", F.lit(False))
-    limit_batches(docs.sparkSession)
-    chosen = of_p.union(of_u).groupBy("doc_id").agg(F.bool_or("p").alias("in_p"), F.bool_or(~F.col("p")).alias("in_u"))
+    spark = docs.sparkSession
+    labelled = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).where(keep).select("doc_id", F.col(label_col).alias("y"))
+    prior = float(labelled.agg(F.avg("y")).first()[0] or 0.0)
+    limit_batches(spark)
+    sets = _positive_sets(docs, labelled, positives, bits)
+    known = known_buckets(sets, 1 << bits)
+    unlabelled = docs.where(f"coalesce({keep}, true)").select("text", F.xxhash64("doc_id", "text", F.monotonically_increasing_id()).alias("at"))  # rows that repeat are dealt apart
+    n = unlabelled.count()
+    if not len(known) or not n:
+        return fit_nnpu([], [], prior, bits)
+    groups = -(-n // group)
+    places = spark.sparkContext.broadcast(known)
+    own = spark.sparkContext.broadcast([np.searchsorted(known, s[np.isin(s, known)]) for s in sets])
 
     def run(batches: Batches) -> Batches:
         for b in batches:
-            sets = [word_buckets(t, bits).astype(np.uint32).tobytes() for t in column_bytes(b.column(1))]
-            yield pa.record_batch([b.column(0), b.column(2), b.column(3), pa.array(sets, pa.binary())], ["doc_id", "in_p", "in_u", "buckets"])
-
-    rows = training_texts(docs, chosen, ["in_p", "in_u"]).select(F.col("doc_id").cast("long"), "text", "in_p", "in_u").mapInArrow(run, "doc_id long, in_p boolean, in_u boolean, buckets binary")
-    got = rows.orderBy(*order).toArrow().to_pylist()
-    sets = [np.frombuffer(r["buckets"], np.uint32).astype(np.int64) for r in got]
-    return fit_nnpu([s for s, r in zip(sets, got, strict=True) if r["in_p"]], [s for s, r in zip(sets, got, strict=True) if r["in_u"]], float(prior or 0.0), bits)
+            texts = column_bytes(b.column(0))
+            out = [np.searchsorted(places.value, s[np.isin(s, places.value)]).astype(np.uint32).tobytes() for s in (word_buckets(t, bits) for t in texts)]
+            yield pa.record_batch([pa.array(b.column(1).to_numpy() % groups), b.column(1), pa.array(out, pa.binary())], ["g", "at", "buckets"])
+
+    dealt = unlabelled.mapInArrow(run, "g long, at long, buckets binary")
+    m = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fitted = dealt.repartition(m, "g").sortWithinPartitions("g", "at", "buckets").mapInArrow(_fit_groups(own, places, prior, bits), "bucket long, weight long")
+    total = {r.bucket: r.weight for r in fitted.groupBy("bucket").agg(F.sum("weight").alias("weight")).collect()}
+    rows = total.pop(-2)
+    bias = total.pop(-1) / rows * _UNIT
+    weights = np.zeros(1 << bits, np.float32)
+    for bucket, weight in total.items():
+        weights[bucket] = weight / rows * _UNIT
+    return Model(weights, bias)
 
 
 def classify_toxicity(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
