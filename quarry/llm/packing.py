@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -16,8 +17,8 @@ from quarry.llm.common import Batches, column_texts, limit_batches
 
 WINDOW = 2048
 #: Partially filled windows that may be open at once in a task. When there are more, all of them are merged by cutting pieces,
-#: which loses no token and pads nothing; so memory is bounded by MOST_OPEN * WINDOW ids.
-MOST_OPEN = 512
+#: which loses no token and pads nothing; so memory is bounded by MOST_OPEN * WINDOW ids of four bytes, 64 MB.
+MOST_OPEN = 8192
 #: Sequence ids of a task start at its partition's number times this.
 SEQUENCES = 1 << 33
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long"
@@ -117,36 +118,49 @@ def pack(documents: Iterator[tuple[object, np.ndarray]], window: int = WINDOW, m
     yield from packer.merge()
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer's JSON file: they are split from a text before anything else and have ids of their own."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in found):
+        raise ValueError("only added tokens that match as they are")
+    return {t["content"]: t["id"] for t in found}
+
+
 @lru_cache(maxsize=4)
-def _encoder(path: str, pattern: str):
+def _encoder(path: str, pattern: str, added: tuple[tuple[str, int], ...]):
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    for content, _ in added:
+        ranks.pop(content.encode(), None)
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(added))
 
 
-def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 1, window: int = WINDOW, most_open: int = MOST_OPEN) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 1, window: int = WINDOW, most_open: int = MOST_OPEN, added: dict[str, int] | None = None) -> DataFrame:
     """A row for each piece of each row of `docs` (doc_id, text): see SCHEMA. `doc_tokens` counts `end_id`, which ends each document.
 
-    The ids are those of the byte-level BPE whose ranks are in the file `path` on the executors. Each input partition is packed on its own,
+    The ids are those of the byte-level BPE whose ranks are in the file `path` on the executors; each of the `added` tokens
+    in a text is split off and has its own id. Each input partition is packed on its own,
     without a shuffle: sequence ids start at the partition's number times 2**33, and a recomputed task repeats them. A null
     text is empty and has one token. `padded_length` is the sequence's length with padding: the window, or less at a power
     of two. Null and repeated ids are kept as they are.
     """
+    special = tuple(sorted((added or {}).items()))
     limit_batches(docs.sparkSession)
     names = [f.split()[0] for f in SCHEMA.split(", ")]
     schema = pa.schema([(n, pa.int64()) for n in names])
 
     def run(batches: Batches) -> Batches:
-        encode = _encoder(path, pattern).encode_to_numpy
+        encode = _encoder(path, pattern, special).encode_to_numpy
         sequence = TaskContext.get().partitionId() * SEQUENCES
         end = np.array([end_id], np.uint32)
 
         def documents() -> Iterator[tuple]:
             for b in batches:
                 for doc, text in zip(b.column(0).to_pylist(), column_texts(b.column(1)), strict=True):
-                    ids = np.concatenate([encode(text, disallowed_special=()).astype(np.uint32), end]) if text else end
+                    ids = np.concatenate([encode(text, allowed_special="all", disallowed_special=()).astype(np.uint32), end]) if text else end
                     yield (doc, len(ids)), ids
 
         rows = []

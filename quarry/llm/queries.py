@@ -11,6 +11,7 @@ from quarry.llm import bpe, merkle, packing, quality, simhash, suffix_dedup, tox
 from quarry.llm.common import held_out_of
 
 RANKS = "byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
@@ -42,7 +43,8 @@ def op5_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    """Pieces of all documents; null texts have the closing id only, rows that repeat are packed each."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, added=packing.added_tokens(public_tokenizers.path(TOKENIZER)))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
