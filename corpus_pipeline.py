@@ -1,24 +1,42 @@
 """A training-data pipeline over `documents`: quality, toxicity, near-duplicates, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame that is written as
-Parquet and read again as the next one's docs. All but the last return the columns of `documents`.
+Parquet and read again as the next one's docs. All but the last return the columns of `documents`. A stage begins by deleting
+the intermediate tables that the stage before it left in the shared folder, whose result is written by then.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.llm import packing, quality, simhash, suffix_dedup, toxicity
-from quarry.llm.common import shared_dir
-from quarry.llm.queries import RANKS
+from quarry.llm.common import release, shared_dir, written
+from quarry.llm.queries import RANKS, TOKENIZER
 
 #: Passages of more than fifty words are this long or longer.
 PASSAGE_BYTES = 200
+#: The intermediate tables of the stage that ran last.
+_left: list[str] = []
 
 
+def _stage(f: Callable) -> Callable:
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _left)
+        before = set(written())
+        out = f(spark, docs, sf_dir)
+        _left[:] = [p for p in written() if p not in before]
+        return out
+
+    return run_stage
+
+
+@_stage
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject. Null texts are scored as empty."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -26,6 +44,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
 
 
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't flag."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -33,20 +52,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near-duplicates: by SimHash, or 0.8 similar on five-word shingles."""
     return simhash.keep_representatives(docs, similar=True)
 
 
+@_stage
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without later copies of passages; `n_chars` follows the text."""
     kept = suffix_dedup.remove_later_copies(docs, length=PASSAGE_BYTES)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in windows of 2048 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return packing.pack_documents(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, added=packing.added_tokens(public_tokenizers.path(TOKENIZER)))
 
 
 STAGES = [
