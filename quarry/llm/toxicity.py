@@ -76,8 +76,9 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     w, b = np.zeros(size), start
     if not positive or not unlabelled:
         return Model(w.astype(np.float32), b)
-    known = known_buckets(positive, size)
-    rows = [r[np.isin(r, known)] for r in positive + unlabelled]
+    known = np.zeros(size, bool)
+    known[known_buckets(positive, size)] = True
+    rows = [r[known[r]] for r in positive + unlabelled]
     squares, square_b = np.full(size, 1e-6), 1e-6
     mean_w, mean_b, averaged = np.zeros(size), 0.0, 0
     rng = np.random.default_rng(seed)
@@ -166,13 +167,21 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", keep: st
     if not len(known) or not n:
         return fit_nnpu([], [], prior, bits)
     groups = -(-n // group)
+    place = np.full(1 << bits, -1, np.int32)
+    place[known] = np.arange(len(known))
+
+    def among_known(found: np.ndarray, place: np.ndarray) -> np.ndarray:
+        at = place[found]
+        return at[at >= 0]
+
     places = spark.sparkContext.broadcast(known)
-    own = spark.sparkContext.broadcast([np.searchsorted(known, s[np.isin(s, known)]) for s in sets])
+    own = spark.sparkContext.broadcast([among_known(s, place).astype(np.int64) for s in sets])
+    lookup = spark.sparkContext.broadcast(place)
 
     def run(batches: Batches) -> Batches:
         for b in batches:
             texts = column_bytes(b.column(0))
-            out = [np.searchsorted(places.value, s[np.isin(s, places.value)]).astype(np.uint32).tobytes() for s in (word_buckets(t, bits) for t in texts)]
+            out = [among_known(word_buckets(t, bits), lookup.value).astype(np.uint32).tobytes() for t in texts]
             yield pa.record_batch([pa.array(b.column(1).to_numpy() % groups), b.column(1), pa.array(out, pa.binary())], ["g", "at", "buckets"])
 
     dealt = unlabelled.mapInArrow(run, "g long, at long, buckets binary")
