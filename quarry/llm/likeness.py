@@ -49,7 +49,7 @@ def bands(s: np.ndarray) -> np.ndarray:
         return s
     s = s.view(np.uint64)
     s = s ^ s >> np.uint64(32)
-    least = np.array([(s * m).min() for m in _MIX]).reshape(BANDS, ROWS)
+    least = np.min([(s[i : i + 1024, None] * _MIX).min(axis=0) for i in range(0, len(s), 1024)], axis=0).reshape(BANDS, ROWS)
     out = np.arange(BANDS, dtype=np.uint64)
     for i in range(ROWS):
         out = (out ^ least[:, i]) * np.uint64(0x9E3779B97F4A7C15)

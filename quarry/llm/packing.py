@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -121,7 +122,9 @@ def pack(documents: Iterator[tuple[object, np.ndarray]], window: int = WINDOW, m
 def added_tokens(path: str) -> dict[str, int]:
     """The added tokens of a tokenizer's JSON file: they are split from a text before anything else and have ids of their own."""
     with open(path, encoding="utf-8") as f:
-        found = json.load(f)["added_tokens"]
+        text = f.read()
+    at = re.search(r'"added_tokens"\s*:\s*', text)  # the vocabulary beside them would fill the driver's memory for nothing
+    found = json.JSONDecoder().raw_decode(text, at.end())[0] if at else []
     if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in found):
         raise ValueError("only added tokens that match as they are")
     return {t["content"]: t["id"] for t in found}

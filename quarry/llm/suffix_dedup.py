@@ -18,6 +18,7 @@ goes on under a key that is longer by the byte at which it parted, until no key
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,18 +37,17 @@ _BASE = 0x9E3779B97F4A7C15
 _CHUNK = 1 << 20
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=1)
+def _powers(n: int = _CHUNK + 4096) -> tuple[np.ndarray, np.ndarray]:
     one = np.ones(1, np.uint64)
     inverse = pow(_BASE, -1, 1 << 64)
     return tuple(np.cumprod(np.concatenate([one, np.full(n, np.uint64(b), np.uint64)]), dtype=np.uint64) for b in (_BASE, inverse))
 
 
-_POWERS, _INVERSE = _powers(_CHUNK + 4096)
-
-
 def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(data)], dtype=np.uint64)])
-    h = (sums[gram:] - sums[:-gram]) * _INVERSE[: len(data) - gram + 1]
+    powers, inverse = _powers()
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], dtype=np.uint64)])
+    h = (sums[gram:] - sums[:-gram]) * inverse[: len(data) - gram + 1]
     h = (h ^ h >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
     return (h ^ h >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
 
