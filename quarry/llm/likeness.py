@@ -178,10 +178,12 @@ def merge_similar(docs: DataFrame, known: DataFrame, text_col: str = "text") ->
         return rows.groupBy("key").agg(*ends).where("least_component <> most_component")
 
     rows = known.select(F.explode("bands").alias("key"), "d", "component")
-    rows = stored(rows.join(mixed(rows).select("key"), "key", "left_semi").select("key", "d"), "meetings")
+    # Keys are stored before rows are joined with them: a join whose stage also aggregates could not split a key of very many rows.
+    keys = stored(mixed(rows).select("key"), "mixed")
+    rows = stored(rows.join(keys, "key", "left_semi").select("key", "d"), "meetings")
     for turn in range(STARS + 1):
         placed = rows.join(of, "d")
-        still = mixed(placed)
+        still = stored(mixed(placed), "mixed")
         if turn < STARS:
             centre = still.select("key", F.col("most_d" if turn else "least_d").alias("e"))
             pairs = rows.join(centre, "key").where("d <> e").select(F.least("d", "e").alias("x"), F.greatest("d", "e").alias("y")).distinct()

@@ -407,6 +407,7 @@ def _equal_surroundings(rows: DataFrame, length: int, later_only: bool) -> tuple
     same = ["a", "ahead", "bytes"]
     place = F.struct(F.col("first_id").isNotNull().alias("known"), "first_id", "d1", "d2", "first")
     counted = rows.groupBy(*same).agg(F.sum(F.octet_length("at") / 4).cast("long").alias("weight"), F.min(place).alias("least")).where("weight > 1")
+    counted = stored(counted, "equal")  # a table of its own, so that the join of surroundings in very many rows can be split
     marked = stored(rows.join(counted, same, "left").withColumn("earliest", F.coalesce(place == F.col("least"), F.lit(True))), "surroundings")
 
     def run(batches: Batches) -> Batches:
