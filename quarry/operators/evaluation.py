@@ -188,19 +188,20 @@ def weights(stats: DataFrame, budget: float = 1.0) -> DataFrame:
 def capped(w: DataFrame, column: str, cap: float) -> DataFrame:
     """Weights of at most `cap`; what is cut is dealt to the others by their size, until nothing exceeds it.
 
-    The set at the cap is the longest prefix, in descending order, of those that exceed it after scaling; so one sorted
-    array replaces the rounds. Weights that cannot reach the budget under the cap all take it.
+    That scales all below the cap by one factor, which is sought by rounds of one aggregation each; a round puts a weight
+    more at the cap or is the last. Weights that cannot reach the budget under the cap all take it.
     """
-    total = w.agg(F.array_sort(F.collect_list(-F.col(column))).alias("__d"), F.sum(column).alias("__t"), F.count("*").alias("__n"))
-    x = w.crossJoin(F.broadcast(total))
-    d = F.transform("__d", lambda v: -v)
-    k_fits = lambda k: F.when(k >= F.col("__n"), True).otherwise(
-        F.get(d, k) * (F.col("__t") - k * cap) <= cap * F.aggregate(F.slice(d, k + 1, F.col("__n").cast("int")), F.lit(0.0), lambda a, v: a + v) + 1e-15
-    )
-    k = F.filter(F.sequence(F.lit(0), F.col("__n").cast("int")), k_fits)[0]
-    x = x.withColumn("__k", k).withColumn("__rest", F.aggregate(F.slice(d, F.col("__k") + 1, F.col("__n").cast("int") + 1), F.lit(0.0), lambda a, v: a + v))
-    scaled = F.col(column) * (F.col("__t") - F.col("__k") * cap) / F.nullif(F.col("__rest"), F.lit(0.0))
-    return x.withColumn("capped", F.least(F.lit(cap), F.coalesce(scaled, F.lit(cap)))).select(*w.columns, "capped")
+    x = F.coalesce(F.col(column), F.lit(0.0))
+    total, n = w.agg(F.sum(x), F.count("*")).first()
+    if not n or cap * n <= (total or 0.0):
+        return w.withColumn("capped", F.lit(cap))
+    factor = 1.0
+    while True:
+        full, rest = w.agg(F.count_if(x * factor >= cap), F.sum(F.when(x * factor < cap, x))).first()
+        now = (total - full * cap) / rest if rest else factor
+        if now <= factor * (1 + 1e-15):
+            return w.withColumn("capped", F.least(F.lit(cap), x * factor))
+        factor = now
 
 
 def _stats(spark, sf):
@@ -213,9 +214,10 @@ def _weights(spark, sf):
     return w.select("symbol", digits("equal").alias("equal"), digits("inverse_volatility", 8).alias("inverse_volatility"), digits("minimum_variance", 8).alias("minimum_variance"), digits("max_sharpe", 5).alias("max_sharpe"))
 
 
-@query("portfolio_capped")
+@query("portfolio_capped", f"WITH {DAILY_SQL} {RETURNS_SQL}, s AS (SELECT symbol, 1 / stddev_pop(ln(1 + r)) AS v FROM rets GROUP BY symbol), t AS (SELECT symbol, v / sum(v) OVER () AS w FROM s), k AS (SELECT *, row_number() OVER (ORDER BY w DESC, symbol) - 1 AS k, coalesce(sum(w) OVER (ORDER BY w DESC, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t), f AS (SELECT min_by((1 - k * 0.0405::DOUBLE) / (1 - before), k) AS f FROM k WHERE w * (1 - k * 0.0405::DOUBLE) / (1 - before) <= 0.0405::DOUBLE) SELECT symbol, {dig('least(0.0405::DOUBLE, w * f)', 'capped', 6)} FROM k, f")
 def _capped(spark, sf):
-    return capped(weights(_stats(spark, sf)).select("symbol", "max_sharpe"), "max_sharpe", 0.08)
+    w = weights(_stats(spark, sf)).select("symbol", "inverse_volatility")
+    return capped(w, "inverse_volatility", 0.0405).select("symbol", digits("capped", 6).alias("capped"))
 
 
 def drift(rows: DataFrame, columns: list[str], first: Column) -> DataFrame:

@@ -5,6 +5,8 @@ Iterations are a fixed small number of joins; each result is written to a checkp
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quarry.functions.numeric import digits, ratio
@@ -15,8 +17,19 @@ from quarry.sources.market import HOURLY_SQL, hourly_bars, table
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint, if the session has a checkpoint folder; else go on with the plan."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
+    """Cut the lineage by a reliable checkpoint under `spark.checkpoint.dir`, or the context's folder.
+
+    Only a local master without either gets a fresh folder; on a cluster it would lie on one machine, so it is an error.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
 
 
 def trade_edges(spark, sf) -> DataFrame:
@@ -44,10 +57,10 @@ def _degrees(spark, sf):
 
 def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """Ranks after `rounds` steps from equal ranks; nodes without edges out keep theirs to themselves."""
-    e = edges.select("src", "dst").distinct()
+    e = settle(edges.select("src", "dst").distinct())
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     n = nodes.count()
-    out = e.join(e.groupBy("src").agg(F.count("*").alias("k")), "src")
+    out = settle(e.join(e.groupBy("src").agg(F.count("*").alias("k")), "src"))
     ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for i in range(rounds):
         sent = out.join(ranks, out["src"] == ranks["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("k")).alias("got"))
@@ -58,15 +71,15 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
 
 
 def _pagerank_sql(rounds: int) -> str:
-    steps = [f"{EDGES_SQL}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), c AS (SELECT count(*) AS c FROM n), k AS (SELECT src, count(*) AS k FROM e GROUP BY src), r0 AS (SELECT node, 1.0::DOUBLE / c AS rank FROM n, c)"]
+    steps = [f"{EDGES_SQL.replace('e AS (', 'e AS MATERIALIZED (')}, n AS MATERIALIZED (SELECT src AS node FROM e UNION SELECT dst FROM e), c AS (SELECT count(*) AS c FROM n), k AS MATERIALIZED (SELECT src, count(*) AS k FROM e GROUP BY src), r0 AS (SELECT node, 1.0::DOUBLE / c AS rank FROM n, c)"]
     for i in range(rounds):
-        steps.append(f"r{i + 1} AS (SELECT n.node, 0.15::DOUBLE / c + 0.85::DOUBLE * coalesce(sum(r.rank / k.k), 0) AS rank FROM n CROSS JOIN c LEFT JOIN e ON e.dst = n.node LEFT JOIN r{i} r ON r.node = e.src LEFT JOIN k ON k.src = e.src GROUP BY n.node, c)")
+        steps.append(f"r{i + 1} AS MATERIALIZED (SELECT n.node, 0.15::DOUBLE / c + 0.85::DOUBLE * coalesce(sum(r.rank / k.k), 0) AS rank FROM n CROSS JOIN c LEFT JOIN e ON e.dst = n.node LEFT JOIN r{i} r ON r.node = e.src LEFT JOIN k ON k.src = e.src GROUP BY n.node, c)")
     return "WITH " + ", ".join(steps) + f" SELECT node, {dig('rank', 'rank', 7)} FROM r{rounds}"
 
 
-@query("graph_pagerank", _pagerank_sql(6))
+@query("graph_pagerank", _pagerank_sql(20))
 def _pagerank(spark, sf):
-    return pagerank(trade_edges(spark, sf), 6).select("node", digits("rank", 7).alias("rank"))
+    return pagerank(trade_edges(spark, sf)).select("node", digits("rank", 7).alias("rank"))
 
 
 def exposure(edges: DataFrame, seeds: DataFrame, decay: float = 0.85, steps: int = 3) -> DataFrame:
@@ -93,9 +106,9 @@ def reachable(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:
     return seen
 
 
-@query("graph_reachable", f"WITH RECURSIVE {EDGES_SQL}, s(node, steps) AS (SELECT 1, 0 UNION SELECT dst, steps + 1 FROM s JOIN e ON src = node WHERE steps < 2) SELECT node, min(steps) AS steps FROM s GROUP BY node")
+@query("graph_reachable", f"WITH RECURSIVE {EDGES_SQL}, s(node, steps) AS (SELECT 1, 0 UNION SELECT dst, steps + 1 FROM s JOIN e ON src = node WHERE steps < 3) SELECT node, min(steps) AS steps FROM s GROUP BY node")
 def _reachable(spark, sf):
-    return reachable(trade_edges(spark, sf), spark.createDataFrame([(1,)], "node int"), 2)
+    return reachable(trade_edges(spark, sf), spark.createDataFrame([(1,)], "node int"))
 
 
 def correlation_graph(r: DataFrame, least: float) -> DataFrame:
@@ -111,6 +124,25 @@ def _correlation(spark, sf):
     return g.select("a", "b", digits("correlation", 7).alias("correlation"), digits("mutual_information", 6).alias("mutual_information"))
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """`node, component` of an undirected graph (src, dst): a component is called by its smallest node.
+
+    In each round every node takes the least label of its neighbours, and then the label of its label, so that labels run
+    along paths in ever longer steps. The driver sees one count a round.
+    """
+    both = settle(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
+    labels = settle(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("component")))
+    while True:
+        known = labels.select(F.col("node").alias("x"), F.col("component").alias("c"))
+        near = both.join(known, F.col("dst") == F.col("x")).groupBy("src").agg(F.min("c").alias("m"))
+        lower = settle(labels.join(near, F.col("node") == F.col("src"), "left").select("node", F.least("component", F.coalesce("m", "component")).alias("now"), F.col("component").alias("was")))
+        ahead = lower.select(F.col("node").alias("x"), F.col("now").alias("to"))
+        jumped = settle(lower.select("node", "now", "was").join(ahead, F.col("now") == F.col("x"), "left").select("node", F.least("now", F.coalesce("to", "now")).alias("component"), "was"))
+        labels = jumped.select("node", "component")
+        if not jumped.where("component <> was").take(1):
+            return labels
+
+
 def spanning_forest(edges: DataFrame) -> DataFrame:
     """The forest of heaviest edges, by rounds in which every component takes its heaviest edge to another (ties by a, b).
 

@@ -174,10 +174,10 @@ def embeddings(docs: DataFrame, dim: int = 128) -> DataFrame:
     return g.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.round(F.coalesce(F.try_element_at("m", i), F.lit(0)) / F.col("l"), 6)).alias("embedding"))
 
 
-@query("documents_embedded", f"WITH w AS (SELECT doc_id, unnest({_WORDS}) AS w FROM documents), b AS (SELECT doc_id, CAST(('0x' || substring(sha256(w), 1, 8)) AS BIGINT) % 8 AS b, count(*) AS n FROM w GROUP BY 1, 2), l AS (SELECT doc_id, sqrt(sum(n * n)) AS l FROM b GROUP BY doc_id) SELECT doc_id, " + ", ".join(f"round(coalesce(max(n) FILTER (WHERE b = {i}), 0) / any_value(l), 6) AS e{i}" for i in range(8)) + " FROM b JOIN l USING (doc_id) GROUP BY doc_id")
+@query("documents_embedded", f"WITH w AS (SELECT doc_id, unnest({_WORDS}) AS w FROM documents), b AS (SELECT doc_id, CAST(CAST(('0x' || substring(sha256(w), 1, 8)) AS BIGINT) % 128 AS INT) AS b, count(*) AS n FROM w GROUP BY 1, 2), l AS (SELECT doc_id, sqrt(sum(n * n)) AS l FROM b GROUP BY doc_id) SELECT doc_id, b AS bucket, round(n / l, 6) AS part FROM b JOIN l USING (doc_id)")
 def _embedded(spark, sf):
-    e = embeddings(table(spark, sf, "documents"), 8)
-    return e.select("doc_id", *[F.col("embedding")[i].alias(f"e{i}") for i in range(8)])
+    e = embeddings(table(spark, sf, "documents"))
+    return e.select("doc_id", F.posexplode("embedding").alias("bucket", "part")).where("part <> 0")
 
 
 def textrank(text: str, keep: int = 3, rounds: int = 12, damping: float = 0.85) -> list[str]:

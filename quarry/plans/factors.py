@@ -98,6 +98,34 @@ def _row(name: str, x: Column, y: Column | None) -> Column:
     }[name]()
 
 
+#: Ranges into which values are cut to count them.
+RANGES = 200
+
+
+def counted(frame: DataFrame, x: Column) -> DataFrame:
+    """Each distinct value `__v` of a column, how often it occurs (`__c`), how many are smaller (`__start`), and how many there are (`__n`).
+
+    Values are cut into ranges at approximate quantiles, so that no task holds more than about one part in `RANGES` of the
+    distinct values; the number below a range comes from the ranges' totals, which are one short array.
+    """
+    values = frame.where(x.isNotNull())
+    bounds = values.agg(F.percentile_approx(x, F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(10 * RANGES)).alias("__q"))
+    counts = values.groupBy(x.alias("__v")).agg(F.count("*").alias("__c"))
+    at = counts.crossJoin(F.broadcast(bounds)).select("__v", "__c", F.size(F.filter("__q", lambda b: b < F.col("__v"))).alias("__r"))  # one row
+    totals = at.groupBy("__r").agg(F.sum("__c").alias("__s")).agg(F.collect_list(F.struct("__r", "__s")).alias("__t"), F.sum("__s").alias("__n"))
+    inside = F.coalesce(F.sum("__c").over(Window.partitionBy("__r").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    below = F.aggregate(F.filter("__t", lambda t: t["__r"] < F.col("__r")), F.lit(0).cast("long"), lambda n, t: n + t["__s"])
+    return at.withColumn("__i", inside).crossJoin(F.broadcast(totals)).select("__v", "__c", (below + F.col("__i")).alias("__start"), "__n")
+
+
+def quantiles(placed: DataFrame, of: dict[str, float]) -> DataFrame:
+    """One row of exact interpolated quantiles, by name, of what `counted` returns."""
+    at = lambda k: F.max(F.when((F.col("__start") <= k) & (k < F.col("__start") + F.col("__c")), F.col("__v")))
+    h = {n: F.lit(q) * (F.col("__n") - 1) for n, q in of.items()}
+    ends = placed.agg(F.max("__n").alias("__n"), *[f for n in of for f in (at(F.floor(h[n])).alias(f"{n}_a"), at(F.ceil(h[n])).alias(f"{n}_b"))])
+    return ends.select(*[(F.col(f"{n}_a") + (F.col(f"{n}_b") - F.col(f"{n}_a")) * (h[n] - F.floor(h[n]))).alias(n) for n in of])
+
+
 def compile_formula(df: DataFrame, node: Node, group: str, entity: str, order: list[str], window: int = 3) -> tuple[DataFrame, Column]:
     """The frame with the columns that the formula needs, and the column of its value.
 
@@ -146,21 +174,18 @@ def compile_formula(df: DataFrame, node: Node, group: str, entity: str, order: l
             }[n.name]()
             return keep(frame, column)
         if n.name == "rank":
-            counts = frame.groupBy(x.alias("__v")).agg(F.count(x).alias("__c"))
-            # Counts of distinct values in ranges; the number of rows below a range comes from the ranges' totals, which are few.
-            at = counts.withColumn("__r", F.expr("cast(floor(__v) as bigint)"))
-            below = at.groupBy("__r").agg(F.sum("__c").alias("__s")).withColumn("__b", F.coalesce(F.sum("__s").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-            inside = F.coalesce(F.sum("__c").over(Window.partitionBy("__r").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            total = counts.agg(F.sum("__c").alias("__n"))
-            ranked = at.withColumn("__i", inside).join(below.select("__r", "__b"), "__r").crossJoin(F.broadcast(total)).select("__v", ((F.col("__b") + F.col("__i") + 1 + (F.col("__c") - 1) / 2.0) / F.col("__n")).alias("__rank"))
-            joined = frame.join(ranked, x == F.col("__v"), "left").drop("__v")
-            made_frame, c = keep(joined, F.col("__rank"))
+            placed = counted(frame, x)
+            ranked = placed.select("__v", ((F.col("__start") + 1 + (F.col("__c") - 1) / 2.0) / F.col("__n")).alias("__rank"))
+            made_frame, c = keep(frame.join(ranked, x == F.col("__v"), "left").drop("__v"), F.col("__rank"))
             return made_frame.drop("__rank"), c
-        stats = frame.agg(F.avg(x).alias("__m"), F.stddev_samp(x).alias("__s"), F.percentile(x, F.lit(0.05)).alias("__lo"), F.percentile(x, F.lit(0.95)).alias("__hi"))
-        joined = frame.crossJoin(F.broadcast(stats))  # one row
-        value = F.coalesce(ratio(x - F.col("__m"), F.col("__s")), F.lit(0.0)) if n.name == "zscore" else F.greatest(F.col("__lo"), F.least(F.col("__hi"), x))
-        made_frame, c = keep(joined, value)
-        return made_frame.drop("__m", "__s", "__lo", "__hi"), c
+        if n.name == "zscore":
+            stats = frame.agg(F.avg(x).alias("__m"), F.stddev_samp(x).alias("__s"))
+            value = F.coalesce(ratio(x - F.col("__m"), F.col("__s")), F.lit(0.0))
+        else:
+            stats = quantiles(counted(frame, x), {"__lo": 0.05, "__hi": 0.95})
+            value = F.greatest(F.col("__lo"), F.least(F.col("__hi"), x))
+        made_frame, c = keep(frame.crossJoin(F.broadcast(stats)), value)  # one row
+        return made_frame.drop(*stats.columns), c
 
     return build(df, node)
 
