@@ -185,8 +185,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", keep: st
             yield pa.record_batch([pa.array(b.column(1).to_numpy() % groups), b.column(1), pa.array(out, pa.binary())], ["g", "at", "buckets"])
 
     dealt = unlabelled.mapInArrow(run, "g long, at long, buckets binary")
-    m = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fitted = dealt.repartition(m, "g").sortWithinPartitions("g", "at", "buckets").mapInArrow(_fit_groups(own, places, prior, bits), "bucket long, weight long")
+    m = min(groups, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    fitted = dealt.repartitionById(m, F.pmod("g", F.lit(m)).cast("int")).sortWithinPartitions("g", "at", "buckets").mapInArrow(_fit_groups(own, places, prior, bits), "bucket long, weight long")
     total = {r.bucket: r.weight for r in fitted.groupBy("bucket").agg(F.sum("weight").alias("weight")).collect()}
     rows = total.pop(-2)
     bias = total.pop(-1) / rows * _UNIT
