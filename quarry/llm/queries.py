@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import bpe, merkle, packing, quality, simhash, suffix_dedup, toxicity, url_filter, webp, warc
+from quarry.llm import bpe, merkle, packing, quality, simhash, suffix_dedup, toxicity, url_filter, warc, webp
 from quarry.llm.common import held_out_of
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -80,17 +80,29 @@ def _uuid_sql(*parts: str) -> str:
     return f"'urn:uuid:' || substring({h}, 1, 8) || '-' || substring({h}, 9, 4) || '-' || substring({h}, 13, 4) || '-' || substring({h}, 17, 4) || '-' || substring({h}, 21, 12)"
 
 
+#: Characters by name, spelled out here on their own so that the SQL doesn't repeat the operator's table.
+_NAMED = "amp & lt < gt > quot \" apos ' copy \u00a9 reg \u00ae trade \u2122 hellip \u2026 mdash \u2014 ndash \u2013 lsquo \u2018 rsquo \u2019 ldquo \u201c rdquo \u201d laquo \u00ab raquo \u00bb bull \u2022 middot \u00b7 euro \u20ac pound \u00a3 yen \u00a5 cent \u00a2 sect \u00a7 para \u00b6 deg \u00b0 plusmn \u00b1 times \u00d7 divide \u00f7 auml \u00e4 ouml \u00f6 uuml \u00fc Auml \u00c4 Ouml \u00d6 Uuml \u00dc szlig \u00df eacute \u00e9 egrave \u00e8 ecirc \u00ea agrave \u00e0 aacute \u00e1 acirc \u00e2 ccedil \u00e7 ntilde \u00f1 iacute \u00ed oacute \u00f3 uacute \u00fa shy \u00ad zwnj \u200c".split(" ")
+
+
 def _entities_sql(x: str) -> str:
-    for entity, char in warc._ENTITIES:
-        x = f"replace({x}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
-    return x
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    pairs = list(zip(_NAMED[::2], _NAMED[1::2], strict=True)) + [("nbsp", " ")]
+    named = "CASE regexp_extract(p, '^([A-Za-z][A-Za-z0-9]{1,31});', 1) " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in pairs) + " END"
+    code = "CASE WHEN regexp_matches(p, '^#[0-9]{1,7};') THEN CAST(regexp_extract(p, '^#([0-9]+);', 1) AS INT) WHEN regexp_matches(p, '^#[xX][0-9a-fA-F]{1,6};') THEN CAST('0x' || regexp_extract(p, '^#[xX]([0-9a-fA-F]+);', 1) AS INT) END"
+    char = f"CASE WHEN {code} = 160 THEN ' ' WHEN {code} > 0 AND {code} < 1114112 AND NOT ({code} BETWEEN 55296 AND 57343) THEN chr({code}) ELSE {named} END"
+    part = f"CASE WHEN ({char}) IS NOT NULL THEN ({char}) || substring(p, strpos(p, ';') + 1) ELSE '&' || p END"
+    parts = f"string_split({x}, '&')"
+    return f"({parts}[1] || array_to_string(list_transform({parts}[2:], lambda p: {part}), ''))"
 
 
 def _warc_sql() -> str:
     text = "regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
-    for tag in warc._HIDDEN:
-        text = rf"regexp_replace({text}, '(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>', ' ', 'g')"
-    text = _entities_sql(rf"regexp_replace(regexp_replace({text}, '{warc._BLOCK_TAGS}', chr(10), 'g'), '<[^>]*>', '', 'g')")
+    for tag in ("script", "style", "noscript", "template", "head"):
+        end = r"|\z" if tag in ("script", "style") else ""
+        text = rf"regexp_replace({text}, '(?is)<{tag}(?:\s[^>]*)?>.*?(?:</{tag}\s*>{end})', ' ', 'g')"
+    blocks = "address article aside blockquote br dd div dl dt footer form h[1-6] header hr li main nav ol p pre section table td th tr ul".replace(" ", "|")
+    text = rf"regexp_replace(regexp_replace({text}, '(?i)</?(?:{blocks})(?:[\s/][^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+    text = _entities_sql(text)
     text = rf"regexp_replace(regexp_replace(regexp_replace({text}, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
     title = rf"regexp_replace(regexp_replace({_entities_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)")}, '\s+', ' ', 'g'), '^ | $', '', 'g')"
     end = "chr(13) || chr(10)"

@@ -1,35 +1,65 @@
 """WARC derivatives: for each response a metadata record and a plain-text conversion record that refer to it.
 
-All of it is DataFrame code over one scan: two rows for each response, no shuffle.
+The derivatives are DataFrame code over one scan: two rows for each response, no shuffle. Files of them, with a gzip member
+for each record, are written and read in Python.
 """
 
 from __future__ import annotations
 
+import gzip
+import zlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Element pairs whose contents are no text.
 _HIDDEN = ("script", "style", "noscript", "template", "head")
+#: Those of them that reach to the page's end where they aren't closed.
+_TO_THE_END = ("script", "style")
 _BLOCK_TAGS = r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)(?:[\s/][^>]*)?>"
-_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+#: Names of characters in HTML that are decoded, besides those by number.
+ENTITIES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "\u00a9", "reg": "\u00ae", "trade": "\u2122", "hellip": "\u2026",
+    "mdash": "\u2014", "ndash": "\u2013", "lsquo": "\u2018", "rsquo": "\u2019", "ldquo": "\u201c", "rdquo": "\u201d", "laquo": "\u00ab", "raquo": "\u00bb", "bull": "\u2022", "middot": "\u00b7",
+    "euro": "\u20ac", "pound": "\u00a3", "yen": "\u00a5", "cent": "\u00a2", "sect": "\u00a7", "para": "\u00b6", "deg": "\u00b0", "plusmn": "\u00b1", "times": "\u00d7", "divide": "\u00f7",
+    "auml": "\u00e4", "ouml": "\u00f6", "uuml": "\u00fc", "Auml": "\u00c4", "Ouml": "\u00d6", "Uuml": "\u00dc", "szlig": "\u00df", "eacute": "\u00e9", "egrave": "\u00e8", "ecirc": "\u00ea",
+    "agrave": "\u00e0", "aacute": "\u00e1", "acirc": "\u00e2", "ccedil": "\u00e7", "ntilde": "\u00f1", "iacute": "\u00ed", "oacute": "\u00f3", "uacute": "\u00fa", "shy": "\u00ad", "zwnj": "\u200c",
+}
+
+
+def decoded(text: Column) -> Column:
+    """Character references by name or number as characters, each once; unknown ones and numbers of no character stay as they are."""
+    names = F.create_map(*[x for k, v in ENTITIES.items() for x in (F.lit(k), F.lit(v))])
+
+    def part(p: Column) -> Column:
+        ref = F.regexp_extract(p, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
+        number = F.when(F.lower(ref).startswith("#x"), F.conv(F.substring(ref, 3, 6), 16, 10)).when(ref.startswith("#"), F.substring(ref, 2, 7)).try_cast("int")
+        valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        by_number = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        char = F.when(number == 160, " ").otherwise(F.coalesce(by_number, F.try_element_at(names, ref)))
+        return F.coalesce(F.concat(char, F.substr(p, F.length(ref) + 2)), F.concat(F.lit("&"), p))
+
+    parts = F.split(text, "&")
+    rest = F.transform(F.slice(parts, 2, F.size(parts)), part)
+    return F.when(F.contains(text, F.lit("&")), F.concat(parts[0], F.array_join(rest, ""))).otherwise(text)
 
 
 def plain_text(html: Column) -> Column:
     """The visible text of an HTML page, a line for each block; null is empty."""
     text = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", " ")
     for tag in _HIDDEN:
-        text = F.regexp_replace(text, rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>", " ")
+        end = r"|\z" if tag in _TO_THE_END else ""
+        text = F.regexp_replace(text, rf"(?is)<{tag}(?:\s[^>]*)?>.*?(?:</{tag}\s*>{end})", " ")
     text = F.regexp_replace(F.regexp_replace(text, _BLOCK_TAGS, "\n"), r"<[^>]*>", "")
-    for entity, char in _ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
+    text = decoded(text)
     text = F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f]+", " "), r" ?\n[ \n]*", "\n")
     return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
 
 
 def page_title(html: Column) -> Column:
     title = F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title", 1)
-    for entity, char in _ENTITIES:
-        title = F.replace(title, F.lit(entity), F.lit(char))
-    return F.regexp_replace(F.regexp_replace(title, r"\s+", " "), r"^ | $", "")
+    return F.regexp_replace(F.regexp_replace(decoded(title), r"\s+", " "), r"^ | $", "")
 
 
 def record_id(*parts: Column) -> Column:
@@ -106,3 +136,57 @@ def warc_record(rows: DataFrame, date: str) -> DataFrame:
     shown = [F.concat(F.lit(f"{n}: "), F.concat(F.lit("<"), F.col(c), F.lit(">")) if c in ("record_id", "refers_to") else F.col(c).cast("string")) for n, c in lines]
     head = F.concat_ws("\r\n", F.lit("WARC/1.1"), F.lit(f"WARC-Date: {date}"), *shown)
     return rows.select(rows.columns[0], F.encode(F.concat(head, F.lit("\r\n\r\n"), F.col("block"), F.lit("\r\n\r\n")), "utf-8").alias("record"))
+
+
+def gzip_members(records: DataFrame) -> DataFrame:
+    """The `record` column of `warc_record` as gzip members: the members one after the other are a compressed WARC file."""
+
+    @F.pandas_udf("binary")
+    def packed(column: pd.Series) -> pd.Series:
+        return column.map(lambda r: None if r is None else gzip.compress(bytes(r), mtime=0))
+
+    return records.withColumn("record", packed("record"))
+
+
+def _plain(data: bytes) -> Iterator[bytes]:
+    """The data, or what its gzip members hold, one after the other."""
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        yield member.decompress(data)
+        data = member.unused_data
+    if data:
+        yield data
+
+
+def parse_warc(data: bytes | None) -> list[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and blocks of the records of a WARC file, compressed by record or not.
+
+    Null and empty files have none. A record that isn't one, or is cut short, is an error that says where.
+    """
+    text = b"".join(_plain(data or b""))
+    out, at = [], 0
+    while at < len(text):
+        end = text.find(b"\r\n\r\n", at)
+        if end < 0 or not text.startswith(b"WARC/1.", at):
+            raise ValueError(f"no WARC record at byte {at}")
+        lines = text[at:end].decode("utf-8").split("\r\n")[1:]
+        headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+        begin, size = end + 4, int(headers.get("content-length", "-1"))
+        if size < 0 or text[begin + size : begin + size + 4] != b"\r\n\r\n":
+            raise ValueError(f"the record at byte {at} is cut short")
+        out.append((headers, text[begin : begin + size]))
+        at = begin + size + 4
+    return out
+
+
+def read_warc(files: DataFrame, content: str = "content") -> DataFrame:
+    """A row for each record of WARC files (binary column `content`): `warc_type, record_id, refers_to, target_uri, block_digest, source_digest, content_type, block`, and whether the block has its digest."""
+    names = ["warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-block-digest", "warc-source-payload-digest", "content-type"]
+    schema = "array<struct<warc_type: string, record_id: string, refers_to: string, target_uri: string, block_digest: string, source_digest: string, content_type: string, block: binary>>"
+
+    @F.udf(schema)
+    def records(data: bytes | None) -> list[tuple]:
+        return [(*[h[n].strip("<>") if n in h else None for n in names], block) for h, block in parse_warc(data)]
+
+    rows = files.select(F.explode(records(content)).alias("r")).select("r.*")
+    return rows.withColumn("intact", F.col("block_digest") == F.concat(F.lit("sha256:"), F.sha2("block", 256)))

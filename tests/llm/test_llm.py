@@ -587,3 +587,68 @@ def test_warc_derivatives(spark):
     assert text.block_digest == "sha256:" + hashlib.sha256(text.block.encode()).hexdigest() and text.content_length == len(text.block.encode())
     record = next(bytes(r.record) for r in warc.warc_record(warc.derivatives(responses), "2024-01-01T00:00:00Z").collect() if b"One two" in bytes(r.record))
     assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"five\r\n\r\n") and f"WARC-Refers-To: <{source.record_id}>".encode() in record
+
+
+def test_warc_text_of_odd_pages(spark):
+    pages = ["a<script>x", "<p>&#72;&#x69;&#XE9;&amp;lt;&nosuch;&#0;&#xD800;&#9999999;&#160;.&copy;</p>&", "<style>p{}", None, "", "<b", "&amp;&amp;", "x<script src=y></script>z<STYLE >q</style\n>w"]
+    want = ["a", "Hi\u00e9&lt;&nosuch;&#0;&#xD800;&#9999999; .\u00a9\n&", "", "", "", "<b", "&&", "x z w"]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").withColumn("url", F.lit("u"))
+    got = {r.page_id: r.block for r in warc.derivatives(warc.responses_from_pages(df)).where("warc_type = 'conversion'").collect()}
+    assert [got[i] for i in range(len(pages))] == want
+
+
+def test_warc_text_against_the_parser(spark):
+    """The words of generated pages, as the library's parser reads them."""
+    from html import escape, unescape
+    from html.parser import HTMLParser
+
+    class Words(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.hidden, self.out = 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("script", "style", "noscript", "template", "head")
+            self.out.append(" " if tag in ("p", "div", "br", "li", "td") else "")
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("script", "style", "noscript", "template", "head")
+            self.out.append(" " if tag in ("p", "div", "li", "td", "script", "style", "head") else "")
+
+        def handle_comment(self, data):
+            self.out.append(" ")
+
+        def handle_data(self, data):
+            self.out.append("" if self.hidden else data)
+
+    rnd = random.Random(6)
+    pages = []
+    for _ in range(40):
+        inner = []
+        for _ in range(rnd.randint(0, 12)):
+            words = escape(" ".join(rnd.choice(["one", "two & three", "<4>", "f\u00fcnf", '"six"']) for _ in range(rnd.randint(1, 4))))
+            tag = rnd.choice(["p", "div", "b", "li", "script", "style", "td", "i"])
+            inner.append(f"<{tag} class='c'>{words if tag not in ('script', 'style') else 'var x;'}</{tag}>" + rnd.choice(["", "<br>", " &euro;&#8212;", "<!-- no -->"]))
+        pages.append("<html><head><title>t</title></head><body>" + "".join(inner) + "</body></html>")
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").withColumn("url", F.lit("u"))
+    got = {r.page_id: r.block for r in warc.derivatives(warc.responses_from_pages(df)).where("warc_type = 'conversion'").collect()}
+    assert unescape("&euro;") == "\u20ac"
+    for i, page in enumerate(pages):
+        words = Words()
+        words.feed(page)
+        assert got[i].split() == "".join(words.out).split(), page
+
+
+def test_warc_files_round_trip(spark):
+    pages = spark.createDataFrame([(1, "<p>One</p>", "http://x/1"), (2, None, None), (3, "<p>F\u00fcnf\r\n\r\n</p>", "http://x/3")], "page_id long, html string, url string")
+    made = warc.derivatives(warc.responses_from_pages(pages))
+    records = warc.warc_record(made, "2024-01-01T00:00:00Z")
+    for kind in (records, warc.gzip_members(records)):
+        data = b"".join(bytes(r.record) for r in kind.collect())
+        back = warc.read_warc(spark.createDataFrame([(bytearray(data),), (None,), (bytearray(),)], "content binary")).collect()
+        assert len(back) == 6 and all(r.intact for r in back)
+        want = {(r.warc_type, r.record_id, r.refers_to, r.target_uri, r.source_digest, r.block) for r in made.collect()}
+        assert {(r.warc_type, r.record_id, r.refers_to, r.target_uri, r.source_digest, bytes(r.block).decode()) for r in back} == want
+    for bad in (b"junk", bytes(records.first().record)[:-5]):
+        with pytest.raises(ValueError, match="record"):
+            warc.parse_warc(bad)
