@@ -135,7 +135,7 @@ def test_webp_columns(spark, docs):
         assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest())
         mean = pixels.reshape(-1, 3).mean(axis=0)
         assert r.feature.startswith(f"64x{len(pixels)} mean {' '.join(f'{v:.2f}' for v in mean)} std ")
-    large = [r for r in got.values() if r.payload_bytes >= 3072]
+    large = [r for r in got.values() if r.payload_bytes >= 3 * webp._LEAST_PIXELS]
     assert large and all(r.media_bytes < 0.7 * r.payload_bytes for r in large)
 
 
