@@ -59,7 +59,11 @@ def canonical_url(url: Column | str, strip_slash: bool = False) -> Column:
 
 def sentences(text: Column | str) -> Column:
     """Pieces that end in `.`, `!` or `?` before white space or the end, collapsed; a rest without an end counts."""
-    found = F.regexp_extract_all(collapse(text), F.lit(r"([^.!?]+[.!?]*)"), 1)
+    return sentences_of(collapse(text))
+
+
+def sentences_of(collapsed: Column | str) -> Column:
+    found = F.regexp_extract_all(c(collapsed), F.lit(r"([^.!?]+[.!?]*)"), 1)
     return F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: s != "")
 
 
@@ -69,14 +73,20 @@ def hashtags(text: Column | str) -> Column:
 
 def sentiment(text: Column | str) -> Column:
     """(good words - bad words) / (good words + bad words), 0 without any."""
-    found = words(text)
+    return sentiment_of(words(text))
+
+
+def sentiment_of(found: Column) -> Column:
     good, bad = F.size(F.filter(found, lambda w: w.isin(POSITIVE))), F.size(F.filter(found, lambda w: w.isin(NEGATIVE)))
     return F.when(good + bad > 0, (good - bad) / (good + bad)).otherwise(0.0)
 
 
 def language(text: Column | str, fallback: str = "und") -> Column:
     """The language with the most hint words; of equals the first by name."""
-    found = F.split(F.lower(collapse(text)), " ")
+    return language_of(F.split(F.lower(collapse(text)), " "), fallback)
+
+
+def language_of(found: Column, fallback: str = "und") -> Column:
     hits = lambda hints: F.size(F.filter(found, lambda w: w.isin(hints)))
     scores = F.array(*[F.struct((-hits(hints)).alias("n"), F.lit(name).alias("name")) for name, hints in HINTS.items()])
     best = F.array_sort(scores)[0]
@@ -85,7 +95,10 @@ def language(text: Column | str, fallback: str = "und") -> Column:
 
 def repeated_tokens(text: Column | str) -> Column:
     """Twelve words or more, of which over 35 % repeat an earlier one."""
-    found = words(text)
+    return repeats(words(text))
+
+
+def repeats(found: Column) -> Column:
     return (F.size(found) >= 12) & ((F.size(found) - F.size(F.array_distinct(found))) / F.greatest(F.lit(1), F.size(found)) > 0.35)
 
 

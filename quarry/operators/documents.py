@@ -7,31 +7,44 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quarry.functions import text as T
 from quarry.functions.numeric import digits
 from quarry.operators.market import dig
+from quarry.operators.settling import settle
 from quarry.registry import query
 from quarry.sources.market import table
 
 
-def keyword_rows(docs: DataFrame, limit: int = 12, *keep: str) -> DataFrame:
-    """`doc_id, *keep, keywords`: the most frequent words of three letters or more, stopwords left out, ties in alphabetical order.
+def with_top_words(df: DataFrame, words: str, limit: int = 12) -> DataFrame:
+    """`keywords`: the most frequent words of three letters or more, stopwords left out, ties in alphabetical order.
 
-    Words are counted per document in an aggregation, whose first part runs where the document lies; documents without
-    such words have no row.
+    Equal words are neighbours once sorted, so the starts of their runs give the counts: within the row, in n log n. Each
+    step is a column of its own, or its array would be made again for each element of the next.
     """
-    found = docs.select("doc_id", *keep, F.explode(T.words("text")).alias("w")).where((F.length("w") >= 3) & ~F.col("w").isin(T.STOPWORDS))
-    counted = found.groupBy("doc_id", *keep, "w").agg(F.count("*").alias("n"))
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "w"))), 1, limit)
-    return counted.groupBy("doc_id", *keep).agg(best.alias("best")).select("doc_id", *keep, F.col("best.w").alias("keywords"))
+    k = df.withColumn("__k", F.array_sort(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(T.STOPWORDS))))
+    k = k.withColumn("__z", F.arrays_zip("__k", F.concat(F.array(F.lit("")), F.col("__k")).alias("__b")))  # each word with the one before
+    starts = F.transform("__z", lambda x, i: F.when((x["__k"] != x["__b"]) & x["__k"].isNotNull(), F.struct(i.alias("i"), x["__k"].alias("w"))))
+    k = k.withColumn("__a", F.filter(starts, lambda x: x.isNotNull()))
+    k = k.withColumn("__e", F.concat(F.transform(F.slice("__a", 2, F.greatest(F.size("__a"), F.lit(1))), lambda x: x["i"]), F.array(F.size("__k"))))  # where each run ends
+    runs = F.transform(F.arrays_zip("__a", "__e"), lambda x: F.struct((x["__a"]["i"] - x["__e"]).alias("n"), x["__a"]["w"].alias("w")))
+    k = k.withColumn("__r", F.slice(F.array_sort(F.filter(runs, lambda x: x["w"].isNotNull())), 1, limit))
+    return k.withColumn("keywords", F.transform("__r", lambda r: r["w"])).drop("__k", "__z", "__a", "__e", "__r")
+
+
+def keyword_rows(docs: DataFrame, limit: int = 12, *keep: str) -> DataFrame:
+    """`doc_id, *keep, keywords`: the top words of each document; documents without such words have no row."""
+    words = docs.select("doc_id", *keep, T.words("text").alias("__w"))
+    return with_top_words(words, "__w", limit).where(F.size("keywords") > 0).select("doc_id", *keep, "keywords")
 
 
 def enrich(docs: DataFrame) -> DataFrame:
-    """Keywords, hashtags, sentiment, language, summary, counts and flags of each document."""
-    s = T.sentences("text")
-    own = docs.select(
-        "doc_id", T.hashtags("text").alias("hashtags"), F.round(T.sentiment("text"), 6).alias("sentiment"), T.language("text").alias("language"),
-        F.substring(F.array_join(F.slice(s, 1, 2), " "), 1, 500).alias("summary"), F.size(T.words("text")).alias("n_words"), F.size(s).alias("n_sentences"),
-        F.coalesce(F.length(T.collapse("text")) < 80, F.lit(True)).alias("short_content"), F.coalesce(T.repeated_tokens("text"), F.lit(False)).alias("repeated_tokens"),
+    """Keywords, hashtags, sentiment, language, summary, counts and flags of each document, in one pass over its row; null texts have none."""
+    cut = docs.select("doc_id", "text", T.words("text").alias("__w"), T.collapse("text").alias("__c"))
+    cut = with_top_words(cut.withColumn("__s", T.sentences_of("__c")), "__w")
+    w, s = F.col("__w"), F.col("__s")
+    return cut.select(
+        "doc_id", T.hashtags("text").alias("hashtags"), F.round(T.sentiment_of(w), 6).alias("sentiment"), T.language_of(F.split(F.lower("__c"), " ")).alias("language"),
+        F.substring(F.array_join(F.slice(s, 1, 2), " "), 1, 500).alias("summary"), F.size(w).alias("n_words"), F.size(s).alias("n_sentences"),
+        F.coalesce(F.length("__c") < 80, F.lit(True)).alias("short_content"), F.coalesce(T.repeats(w), F.lit(False)).alias("repeated_tokens"),
+        F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"),
     )
-    return own.join(keyword_rows(docs), "doc_id", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
 
 
 def _sql_list(values: list[str]) -> str:
@@ -153,10 +166,14 @@ def _coverage(spark, sf):
 
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, top: int = 10) -> DataFrame:
     """The `top` documents of each query (query_id, text) by BM25; a repeated query word counts repeatedly. Only words of queries are joined."""
-    tokens = docs.select("doc_id", T.words("text").alias("w")).where(F.size("w") > 0)
-    stats = tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("mean_length"))
+    # One pass over the texts: each document also posts an empty word, which carries its length into the statistics.
     asked = queries.select("query_id", F.explode(T.words("text")).alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("times"))
-    postings = tokens.select("doc_id", F.size("w").alias("length"), F.explode("w").alias("word")).join(asked.select("word").distinct(), "word", "left_semi").groupBy("word", "doc_id", "length").agg(F.count("*").alias("tf"))
+    tokens = docs.select("doc_id", T.words("text").alias("w")).where(F.size("w") > 0)
+    words = tokens.select("doc_id", F.size("w").alias("length"), F.explode(F.concat("w", F.array(F.lit("")))).alias("word"))
+    wanted = asked.select("word").union(queries.sparkSession.createDataFrame([("",)], "word string")).distinct()
+    posted = settle(words.join(wanted, "word", "left_semi").groupBy("word", "doc_id", "length").agg(F.count("*").alias("tf")))
+    stats = posted.where("word = ''").agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
+    postings = posted.where("word <> ''")
     weights = asked.join(postings.groupBy("word").agg(F.count("*").alias("df")), "word")
     hits = postings.join(weights, "word").crossJoin(F.broadcast(stats))  # one row
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

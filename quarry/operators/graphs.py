@@ -5,33 +5,16 @@ Iterations are a fixed small number of joins; each result is written to a checkp
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quarry.functions.numeric import digits, ratio
 from quarry.operators.evaluation import RETURNS_SQL, covariances
 from quarry.operators.market import dig, returns
+from quarry.operators.settling import settle
 from quarry.registry import query
 from quarry.sources.market import HOURLY_SQL, hourly_bars, table
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint under `spark.checkpoint.dir`, or the context's folder.
-
-    Only a local master without either gets a fresh folder; on a cluster it would lie on one machine, so it is an error.
-    """
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def trade_edges(spark, sf) -> DataFrame:
     """(src, dst, weight): supplier nation to another customer nation by the number of line items, where it is above the supplier's mean."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")

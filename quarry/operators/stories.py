@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quarry.functions import text as T
 from quarry.functions.numeric import digits, ratio
 from quarry.operators.documents import _CLAIMS_SQL, claims
-from quarry.operators.graphs import components, settle
+from quarry.operators.graphs import components
 from quarry.operators.knowledge import EVENT_WORDS, embeddings, event_type
 from quarry.operators.market import dig
+from quarry.operators.settling import settle
 from quarry.registry import query
 from quarry.sources.market import table
 

@@ -313,3 +313,127 @@ def _surrogates(spark, sf):
 
     r = returns(hourly_bars(spark, sf)).select("symbol", "ts", "log_return")
     return r.groupBy("symbol").applyInPandas(one, "symbol string, width double, shuffled double, adjusted double, clipped double")
+
+
+# scales, checks and forecasts
+
+
+def scale_grid(length: int, lowest: int | None = None, highest: int | None = None, count: int = 12, order: int = 1, segments: int = 4) -> list[int]:
+    """Distinct whole scales, evenly spaced by their logarithm, that leave `segments` windows of a series of that length."""
+    low = lowest or max(8, order + 3)
+    high = highest or max(low, length // segments)
+    if not 0 < low <= high <= length or count < 1:
+        raise ValueError(f"no scales from {low} to {high} for a series of {length}")
+    if low == high or count == 1:
+        return [low]
+    return sorted({min(high, max(low, round(low * (high / low) ** (i / (count - 1))))) for i in range(count)})
+
+
+def scaling_diagnostic(points: list[tuple[int, float]], robust: bool = False, lowest: int | None = None, highest: int | None = None, least: int = 3) -> dict[str, float]:
+    """Slope, intercept and fit of the logarithm of a fluctuation against that of the scale, by least squares or Theil-Sen; points without a positive finite value are left out."""
+    kept = sorted((s, v) for s, v in points if s > 0 and np.isfinite(v) and v > 0 and (lowest is None or s >= lowest) and (highest is None or s <= highest))
+    if len(kept) < least:
+        raise ValueError(f"{len(kept)} scales; {least} are needed")
+    x, y = (np.log(np.array(c, float)) for c in zip(*kept, strict=True))
+    slope = robust_slope(x, y) if robust else float(np.polyfit(x, y, 1)[0])
+    intercept = float(np.median(y - slope * x)) if robust else float(y.mean() - slope * x.mean())
+    total = float(((y - y.mean()) ** 2).sum())
+    rest = float(((y - slope * x - intercept) ** 2).sum())
+    return {"slope": slope, "intercept": intercept, "r2": 1 - rest / total if total > 0 else 1.0, "scales": len(kept), "lowest": kept[0][0], "highest": kept[-1][0]}
+
+
+def finite_size_check(x: np.ndarray, scales: list[int], seed: int, count: int = 10, short: int = 512) -> dict[str, float]:
+    """Spectrum width and Hurst exponent of a series beside the mean and deviation of those of Gaussian series of its length, mean and deviation; `bias` is the width's excess."""
+    rng = np.random.default_rng(seed)
+    own = multifractal(x, scales)
+    controls = [multifractal(rng.normal(x.mean(), x.std() or 1.0, len(x)), scales) for _ in range(count)]
+    out = {"n": len(x), "is_short": float(len(x) < short)}
+    for k in ("width", "hurst"):
+        v = np.array([c[k] for c in controls])
+        out |= {k: own[k], f"{k}_control": float(v.mean()), f"{k}_deviation": float(v.std())}
+    return out | {"bias": out["width"] - out["width_control"]}
+
+
+def extreme_sensitivity(x: np.ndarray, scales: list[int], low: float = 0.05, high: float = 0.95, method: str = "winsorized") -> dict[str, float]:
+    """Spectrum of a series, of the same with its extremes cut to quantiles (or left out), and the mean distance of their measures."""
+    a, b = np.quantile(x, [low, high])
+    if method not in ("winsorized", "trimmed"):
+        raise ValueError(f"no method {method}")
+    changed = np.clip(x, a, b) if method == "winsorized" else x[(x >= a) & (x <= b)]
+    own, other = multifractal(x, scales), multifractal(changed, scales)
+    keys = ("hurst", "width", "asymmetry")
+    return {"n": len(changed), **{k: own[k] for k in keys}, **{f"{k}_changed": other[k] for k in keys}, "sensitivity": float(np.mean([abs(own[k] - other[k]) for k in keys]))}
+
+
+def switching_volatility(steps: int, seed: int, base: float = 0.01, components: int = 4, switch: float = 0.1, low: float = 0.7, high: float = 1.3) -> np.ndarray:
+    """Volatility of a product of components that are low or high and are drawn anew with a probability at each step."""
+    rng = np.random.default_rng(seed)
+    state = rng.integers(0, 2, components)
+    out = np.empty(steps)
+    for i in range(steps):
+        drawn = rng.random(components) < switch
+        state = np.where(drawn, rng.integers(0, 2, components), state)
+        out[i] = base * np.sqrt(np.prod(np.where(state == 1, high, low)))
+    return out
+
+
+def volatility_forecast(horizon: int, paths: int, seed: int, **parameters: float) -> dict[str, float]:
+    """Mean and 5, 50 and 95 % quantiles of the volatility at the horizon, over paths with seeds from `seed` on."""
+    last = np.array([switching_volatility(horizon, seed + i, **parameters)[-1] for i in range(paths)])
+    return {"mean": float(last.mean()), **dict(zip(("p05", "p50", "p95"), (float(v) for v in np.quantile(last, [0.05, 0.5, 0.95])), strict=True))}
+
+
+def modes(x: np.ndarray) -> dict[str, object]:
+    """Energies of a series' empirical modes, by the optional library PyEMD; without it the series is its one mode, and the result says so."""
+    try:
+        from PyEMD import EMD
+    except ImportError:
+        parts, missing = [np.asarray(x, float)], "PyEMD"
+    else:
+        parts, missing = list(EMD().emd(np.asarray(x, float))), ""
+    whole = np.sum(parts, axis=0) if len(x) else np.zeros(0)
+    return {"components": parts, "energies": [float((p * p).sum()) for p in parts], "error": float(np.abs(whole - x).max()) if len(x) else 0.0, "missing": missing}
+
+
+def shuffled_training(values: list, train: list[int], seed: int = 0, kind: str = "all", patch: int = 4) -> list:
+    """The values with those at the places of training in another order, all or whole patches of them (in reverse); no other value moves."""
+    own = [values[i] for i in train]
+    if kind == "all":
+        own = [own[i] for i in np.random.default_rng(seed).permutation(len(own))]
+    elif kind == "patches":
+        own = [v for i in reversed(range(0, len(own), max(1, patch))) for v in own[i : i + max(1, patch)]]
+    elif kind != "none":
+        raise ValueError(f"no shuffle {kind}")
+    out = list(values)
+    for i, v in zip(train, own, strict=True):
+        out[i] = v
+    return out
+
+
+def book_spectra(book: DataFrame, scales: list[int]) -> DataFrame:
+    """Per symbol of `book_series` rows: Hurst exponents and spectrum widths of spread and imbalance, the scaling of the waiting
+    times' partition sums at q = 2, and the exponent of the depths' common fluctuations; null for series shorter than two of the largest windows."""
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["ts", "seq", "spread", "bid_depth", "ask_depth"])
+        row: dict[str, object] = {"symbol": g["symbol"].iloc[0], "n": len(g)}
+        names = ["spread_hurst", "spread_width", "imbalance_hurst", "imbalance_width", "waiting_slope", "depth_exponent"]
+        if len(g) < 2 * max(scales):
+            return pd.DataFrame([row | dict.fromkeys(names)])
+        for c in ("spread", "imbalance"):
+            m = multifractal(g[c].to_numpy(float), scales)
+            row |= {f"{c}_hurst": m["hurst"], f"{c}_width": m["width"]}
+        sums = partition_function(g["seconds"].to_numpy(float), scales, (2.0,))[0]
+        depth = cross_fluctuations(g["bid_depth"].to_numpy(float), g["ask_depth"].to_numpy(float), scales, (2.0,))
+        return pd.DataFrame([row | {"waiting_slope": scaling_diagnostic(list(zip(scales, sums, strict=True)), least=2)["slope"], "depth_exponent": float(slopes(depth, scales)[0])}])
+
+    schema = "symbol string, n long, spread_hurst double, spread_width double, imbalance_hurst double, imbalance_width double, waiting_slope double, depth_exponent double"
+    return book.groupBy("symbol").applyInPandas(one, schema)
+
+
+@query("book_spectra")
+def _book_spectra(spark, sf):
+    from quarry.operators.relations import book_series
+    from quarry.sources.market import book_depths, book_rows
+
+    return book_spectra(book_series(book_depths(book_rows(spark, sf))), [8, 16, 32, 64])

@@ -9,8 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.functions.numeric import digits, ratio
-from quarry.operators.graphs import settle
 from quarry.operators.market import dig
+from quarry.operators.settling import settle
 from quarry.plans.factors import Node, call, compile_formula, constant, evaluate_all, operand, serialize, validate
 from quarry.registry import query
 from quarry.sources.market import table

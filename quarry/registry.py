@@ -11,7 +11,7 @@ from importlib import import_module
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 FLAGSHIP = "panel_daily"
-MODULES = ["quarry.operators.market", "quarry.operators.features", "quarry.operators.preparation", "quarry.operators.documents", "quarry.operators.evaluation", "quarry.operators.graphs", "quarry.plans.factors", "quarry.operators.timeseries", "quarry.operators.models", "quarry.streaming.windows", "quarry.sources.readers", "quarry.operators.knowledge", "quarry.operators.research", "quarry.operators.performance", "quarry.operators.availability", "quarry.operators.regimes", "quarry.operators.relations", "quarry.operators.stories", "quarry.plans.search", "quarry.functions.scalars", "quarry.sources.catalog", "quarry.streaming.control"]
+MODULES = ["quarry.operators.market", "quarry.operators.features", "quarry.operators.preparation", "quarry.operators.documents", "quarry.operators.evaluation", "quarry.operators.graphs", "quarry.plans.factors", "quarry.operators.timeseries", "quarry.operators.models", "quarry.streaming.windows", "quarry.sources.readers", "quarry.operators.knowledge", "quarry.operators.research", "quarry.operators.performance", "quarry.operators.availability", "quarry.operators.regimes", "quarry.operators.relations", "quarry.operators.stories", "quarry.operators.checks", "quarry.plans.search", "quarry.functions.scalars", "quarry.sources.catalog", "quarry.streaming.control"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Callable], Callable]:

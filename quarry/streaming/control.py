@@ -246,7 +246,7 @@ def default_components() -> Components:
 
     out = Components()
     for category, makers in {
-        "model": {"ridge": models.fit_ridge, "naive": models.naive_baseline, "logistic": models.logistic_baseline},
+        "model": {"ridge": models.fit_ridge, "naive": models.naive_baseline, "logistic": models.logistic_baseline, "boosted": models.boosted_baseline},
         "extractor": {"entities": knowledge.entities, "claims": documents.claims, "events": stories.events_of_claims},
         "source": {k: lambda k=k: catalog.adapter(k) for k in catalog.ADAPTERS},
     }.items():

@@ -287,3 +287,158 @@ def test_capped_extremes(spark):
     w = spark.createDataFrame([("a", 0.9), ("b", 0.1), ("c", 0.0)], "symbol string, w double")
     assert {r.symbol: r.capped for r in evaluation.capped(w, "w", 0.6).collect()} == pytest.approx({"a": 0.6, "b": 0.4, "c": 0.0})
     assert evaluation.capped(w.limit(0), "w", 0.6).count() == 0
+
+
+def naive_exponent(x, scales, q):
+    """Slope of ln F_q against ln s: windows from both ends, a straight line off each, one window at a time."""
+    profile = np.cumsum(x - np.mean(x))
+    points = []
+    for s in scales:
+        n = len(profile) // s
+        parts = [profile[i * s : (i + 1) * s] for i in range(n)] + [profile[len(profile) - (i + 1) * s : len(profile) - i * s] for i in range(n)]
+        v = [np.mean((p - np.polyval(np.polyfit(np.arange(s), p, 1), np.arange(s))) ** 2) for p in parts]
+        f = np.exp(0.5 * np.mean(np.log(v))) if q == 0 else np.mean(np.power(v, q / 2)) ** (1 / q)
+        points.append((np.log(s), np.log(f)))
+    return np.polyfit(*zip(*points, strict=True), 1)[0]
+
+
+def naive_width(x, scales, q=(-4.0, -2.0, 0.0, 2.0, 4.0)):
+    tau = [k * naive_exponent(x, scales, k) - 1 for k in q]
+    alpha = np.gradient(np.array(tau), np.array(q))
+    return alpha.max() - alpha.min()
+
+
+@pytest.fixture(scope="module")
+def log_returns(spark):
+    from quarry.operators.market import returns
+    from quarry.sources.market import daily_bars, hourly_bars
+
+    def of(bars):
+        out: dict[str, list] = {}
+        for r in returns(bars(spark, SF)).orderBy("symbol", "ts").collect():
+            out.setdefault(r.symbol, []).append((r.ts, r.log_return))
+        return out
+
+    return of(hourly_bars), of(daily_bars)
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_series_queries_against_naive_kernels(spark, log_returns):
+    from quarry import registry
+    from quarry.operators import timeseries
+
+    hourly, daily = log_returns
+    got = {r.symbol: r for r in registry.QUERIES["series_features"](spark, SF).collect()}
+    assert got.keys() == hourly.keys()
+    for k, rows in hourly.items():
+        x, r = np.array([v for _, v in rows]), got[k]
+        assert r.n == len(x)
+        if len(x) >= 128:
+            assert r.hurst == pytest.approx(naive_exponent(x, [8, 16, 32, 64], 2.0)) and r.width == pytest.approx(naive_width(x, [8, 16, 32, 64]))
+        else:
+            assert r.hurst is None or np.isnan(r.hurst)
+        counts = np.histogram(x, 4)[0] / len(x)
+        assert r.entropy == pytest.approx(-sum(p * np.log2(p) for p in counts if p)) and r.recurrence == pytest.approx(np.mean(np.abs(x[:, None] - x[None, :]) <= 0.1 * x.std()))
+    windows = {(r.symbol, r.ts): r.hurst for r in registry.QUERIES["rolling_exponents"](spark, SF).collect()}
+    want = {(k, rows[i + 127][0]): naive_exponent(np.array([v for _, v in rows[i : i + 128]]), [8, 16, 32], 2.0) for k, rows in daily.items() for i in range(0, len(rows) - 127, 32)}
+    assert windows == pytest.approx(want)
+    spectra = {r.symbol: r for r in registry.QUERIES["series_surrogates"](spark, SF).collect()}
+    for k, rows in hourly.items():
+        x = np.array([v for _, v in rows])
+        if len(x) < 64:
+            assert k not in spectra
+            continue
+        low, high = np.quantile(x, [0.01, 0.99])
+        assert spectra[k].width == pytest.approx(naive_width(x, [8, 16, 32])) and spectra[k].clipped == pytest.approx(naive_width(np.clip(x, low, high), [8, 16, 32]))
+        shuffles = [naive_width(np.random.default_rng(1 + i).permutation(x), [8, 16, 32]) for i in range(5)]
+        assert spectra[k].shuffled == pytest.approx(np.mean(shuffles)) and sorted(timeseries.amplitude_adjusted_surrogate(x, 1)) == sorted(x)
+
+
+def test_text_queries_against_plain_versions(spark):
+    from quarry import registry
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got: dict[int, list] = {}
+    for r in sorted(registry.QUERIES["documents_chunks"](spark, SF).collect(), key=lambda r: (r.doc_id, r.position)):
+        got.setdefault(r.doc_id, []).append(r)
+    assert got.keys() == {i for i, t in docs.items() if t}
+    for i, rows in got.items():
+        text = docs[i]
+        assert rows[0].char_start == 0 and rows[-1].char_end == len(text) and all(r.chunk == text[r.char_start : r.char_end] and 0 < len(r.chunk) <= 2000 for r in rows)
+        for a, b in itertools.pairwise(rows):
+            assert b.char_start == max(a.char_end - 200, a.char_start + 1)
+            cut = [k for k in range(a.char_start + 1000, a.char_start + 2000) if text[k] in " \n"]
+            assert a.char_end == (cut[-1] if cut else a.char_start + 2000)
+    turns = {(r.conv_id, r.turn): r.text or "" for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
+    for r in registry.QUERIES["conversations_summarized"](spark, SF).collect():
+        s = [x.strip() for x in __import__("re").findall(r"[^.!?]+[.!?]*", " ".join(turns[r.conv_id, r.turn].split())) if x.strip()]
+        sets = [set(__import__("re").findall(r"[a-z0-9]+", x.lower())) for x in s]
+        like = [[len(a & b) / len(a | b) if i != j and a | b else 0.0 for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+        rank = [1.0] * len(s)
+        for _ in range(12):
+            rank = [0.15 + 0.85 * sum(x * y for x, y in zip(row, rank, strict=True)) for row in like]
+        assert set(r.summary) <= set(s) and len(r.summary) == min(3, len(s))
+        if len({round(x, 4) for x in rank}) == len(rank):
+            best = sorted(sorted(range(len(s)), key=lambda i: -rank[i])[:3])
+            assert r.summary == [s[i] for i in best]
+    slices: dict[str, list] = {}
+    for r in registry.QUERIES["documents_topics"](spark, SF).collect():
+        slices.setdefault(r.slice, []).append((r.doc_id, r.topic_id))
+    from quarry.operators.documents import keyword_rows
+
+    words = {r.doc_id: set(r.keywords) for r in keyword_rows(spark.read.parquet(f"{SF}/documents.parquet"), 5).collect()}
+    for rows in slices.values():
+        topics: list[tuple[int, set]] = []
+        for i, topic in sorted(rows):
+            own = next((t for t in topics if len(t[1] & words[i]) >= 2), None)
+            if own is None:
+                topics.append((i, set(words[i])))
+            else:
+                own[1].update(words[i])
+            assert topic == (own[0] if own else i)
+
+
+def test_scales_and_checks():
+    from quarry.operators import timeseries as ts
+
+    assert ts.scale_grid(512, count=4) == [8, 20, 51, 128] and ts.scale_grid(40, 10, 10) == [10]
+    with pytest.raises(ValueError, match="no scales"):
+        ts.scale_grid(5)
+    points = [(s, 3.0 * s**0.7) for s in (8, 16, 32, 64)]
+    for robust in (False, True):
+        d = ts.scaling_diagnostic([*points, (0, 1.0), (128, float("nan"))], robust)
+        assert d["slope"] == pytest.approx(0.7) and d["r2"] == pytest.approx(1) and (d["scales"], d["lowest"], d["highest"]) == (4, 8, 64)
+    with pytest.raises(ValueError, match="are needed"):
+        ts.scaling_diagnostic(points[:2])
+    x = np.random.default_rng(3).normal(size=600)
+    f = ts.finite_size_check(x, [8, 16, 32], 1, 3)
+    assert f["is_short"] == 0 and f["bias"] == pytest.approx(f["width"] - f["width_control"]) and abs(f["bias"]) < 1
+    e = ts.extreme_sensitivity(np.append(x, [50.0, -50.0]), [8, 16, 32])
+    assert e["sensitivity"] > 0 and ts.extreme_sensitivity(x, [8, 16, 32], method="trimmed")["n"] < len(x)
+    v = ts.volatility_forecast(5, 40, 2)
+    assert v["p05"] <= v["p50"] <= v["p95"] and v == ts.volatility_forecast(5, 40, 2) and len(set(ts.switching_volatility(30, 1, switch=0.0))) == 1
+    m = ts.modes(np.array([1.0, 2.0]))
+    assert m["missing"] == "PyEMD" and m["energies"] == [5.0] and m["error"] == 0
+    values = list("abcdefgh")
+    assert ts.shuffled_training(values, [0, 1, 2, 3, 4], kind="patches", patch=2) == list("ecdabfgh") and sorted(ts.shuffled_training(values, [0, 1, 2], 1)) == values
+    assert ts.shuffled_training(values, [0, 1, 2], 1)[3:] == values[3:] and ts.shuffled_training(values, [1], kind="none") == values
+
+
+def test_boosted_baseline(spark):
+    rows = spark.createDataFrame([(float(i % 10), float(i % 10 > 4)) for i in range(200)], "x double, y double")
+    model = __import__("quarry.operators.models", fromlist=["x"]).boosted_baseline(rows, ["x"], "y", 3)
+    assert all((r.prediction > 0.5) == (r.y > 0.5) for r in model.transform(rows).collect())
+
+
+def test_checks_of_identity_and_flags(spark):
+    from quarry.operators import checks
+
+    with pytest.raises(ValueError, match="name, frequency"):
+        checks.check_identity(" ", "s", "")
+    checks.check_identity("n", "s", "1d")
+    rows = [(1, "t", "word " * 20, "2024"), (2, None, None, None), (3, "t", "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 2, "x"), (4, "t", "one one two two three three four four five five six six", "x")]
+    got = {r.doc_id: r.flags for r in checks.document_flags(spark.createDataFrame(rows, "doc_id int, title string, text string, published string"), "title", "text", "published").collect()}
+    assert got == {1: ["repeated_tokens"], 2: ["missing_title", "missing_published_at", "short_content"], 3: [], 4: ["short_content"]}
+    assert checks.checked_claims(spark.createDataFrame([("a", " ", None, "e")], "subject string, predicate string, object string, evidence string")).first().errors == ["missing_predicate", "missing_object"]
