@@ -56,17 +56,36 @@ def _chunks(spark, sf):
 def evidence(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """Where documents hold the passages (item_id, text), exactly: the first place of each, as characters from 0.
 
-    Passages are keyed by their first five words, which documents are searched for; only documents with such words are
-    compared with the whole passage.
+    A passage's inner words, without its first and last, stand as whole words wherever it stands; up to five of them are
+    its key, and documents are searched for runs of as many words. Passages without inner words are keyed by their first
+    three characters. Only documents with a passage's key are compared with the whole passage. Empty passages are nowhere.
     """
-    five = lambda w: F.array_join(F.slice(w, 1, 5), " ")
-    p = passages.select("item_id", F.col("text").alias("passage"), five(T.words("text")).alias("key"))
-    w = docs.select("doc_id", "text", T.words("text").alias("w"))
-    at = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 4)), lambda i: F.array_join(F.slice("w", i, 5), " "))
-    keyed = w.select("doc_id", "text", F.explode(F.array_distinct(at)).alias("key"))
-    hits = keyed.select("doc_id", "key").join(p.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    found = hits.join(p.select("item_id", "passage"), "item_id").join(docs.select("doc_id", "text"), "doc_id")
-    return found.withColumn("char_start", F.expr("locate(passage, text) - 1")).where("char_start >= 0").select("doc_id", "item_id", "char_start", F.sha2("passage", 256).alias("evidence_hash"))
+    words = T.words("text")
+    inner = F.slice(words, 2, F.greatest(F.lit(0), F.least(F.lit(5), F.size(words) - 2)))
+    p = passages.where(F.length("text") > 0).select("item_id", F.col("text").alias("passage"), inner.alias("inner"))
+    long, short = p.where(F.size("inner") > 0), p.where(F.size("inner") == 0)
+    w = docs.select("doc_id", T.words("text").alias("w"))
+    sizes = [r[0] for r in long.select(F.size("inner")).distinct().collect()]  # 1 to 5
+    hits = None
+
+    def runs_of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))
+
+    def parts_of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length("text") - (n - 1)), lambda i: F.substring(F.col("text"), i, F.lit(n)))
+
+    for n in sizes:
+        keyed = w.where(F.size("w") >= n).select("doc_id", F.explode(F.array_distinct(runs_of(n))).alias("key"))
+        found = keyed.join(long.where(F.size("inner") == n).select("item_id", F.array_join("inner", " ").alias("key")), "key").select("doc_id", "item_id")
+        hits = found if hits is None else hits.union(found)
+    for n in [r[0] for r in short.select(F.least(F.lit(3), F.length("passage"))).distinct().collect()]:
+        keyed = docs.where(F.length("text") >= n).select("doc_id", F.explode(F.array_distinct(parts_of(n))).alias("key"))
+        found = keyed.join(short.where(F.least(F.lit(3), F.length("passage")) == n).select("item_id", F.substring("passage", 1, n).alias("key")), "key").select("doc_id", "item_id")
+        hits = found if hits is None else hits.union(found)
+    if hits is None:
+        hits = docs.select("doc_id").limit(0).crossJoin(passages.select("item_id").limit(0))
+    located = hits.distinct().join(p.select("item_id", "passage"), "item_id").join(docs.select("doc_id", "text"), "doc_id")
+    return located.withColumn("char_start", F.expr("locate(passage, text) - 1")).where("char_start >= 0").select("doc_id", "item_id", "char_start", F.sha2("passage", 256).alias("evidence_hash"))
 
 
 @query("passages_located", "SELECT doc_id, item_id, CAST(strpos(d.text, b.text) - 1 AS INT) AS char_start, sha256(b.text) AS evidence_hash FROM documents d JOIN benchmark b ON contains(d.text, b.text)")

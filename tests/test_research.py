@@ -442,3 +442,14 @@ def test_checks_of_identity_and_flags(spark):
     got = {r.doc_id: r.flags for r in checks.document_flags(spark.createDataFrame(rows, "doc_id int, title string, text string, published string"), "title", "text", "published").collect()}
     assert got == {1: ["repeated_tokens"], 2: ["missing_title", "missing_published_at", "short_content"], 3: [], 4: ["short_content"]}
     assert checks.checked_claims(spark.createDataFrame([("a", " ", None, "e")], "subject string, predicate string, object string, evidence string")).first().errors == ["missing_predicate", "missing_object"]
+
+
+def test_passages_of_any_length(spark):
+    from quarry.operators import knowledge
+
+    texts = ["smart is long, and wide open today! x", "is long, and", "", None, "?? no", "a b c d e f g h"]
+    passages = ["art is long, and wid", "is long, and", "is", "??", "x", "b c d e f g", "b c d e f g h i", "", "no such thing at all here today", " b c "]
+    got = {(r.doc_id, r.item_id): r.char_start for r in knowledge.evidence(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")).collect()}
+    assert got == {(i, k): t.index(p) for i, t in enumerate(texts) for k, p in enumerate(passages) if t and p and p in t}
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert knowledge.evidence(spark.createDataFrame([(1, "x")], "doc_id long, text string"), none).count() == 0
