@@ -29,20 +29,27 @@ ENTITIES = {
 
 
 def decoded(text: Column) -> Column:
-    """Character references by name or number as characters, each once; unknown ones and numbers of no character stay as they are."""
-    names = F.create_map(*[x for k, v in ENTITIES.items() for x in (F.lit(k), F.lit(v))])
+    """Character references by name or number as characters, each once; unknown ones and numbers of no character stay as they are.
 
-    def part(p: Column) -> Column:
-        ref = F.regexp_extract(p, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
-        number = F.when(F.lower(ref).startswith("#x"), F.conv(F.substring(ref, 3, 6), 16, 10)).when(ref.startswith("#"), F.substring(ref, 2, 7)).try_cast("int")
-        valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
-        by_number = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
-        char = F.when(number == 160, " ").otherwise(F.coalesce(by_number, F.try_element_at(names, ref)))
-        return F.coalesce(F.concat(char, F.substr(p, F.length(ref) + 2)), F.concat(F.lit("&"), p))
-
-    parts = F.split(text, "&")
-    rest = F.transform(F.slice(parts, 2, F.size(parts)), part)
-    return F.when(F.contains(text, F.lit("&")), F.concat(parts[0], F.array_join(rest, ""))).otherwise(text)
+    Each step is an array made from the one before, so that the text is split, and a reference read, once.
+    """
+    names = F.create_map(*[x for k, v in ENTITIES.items() for x in (F.lit(k), F.lit(v))])
+    reference = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+    def number(r: Column) -> Column:
+        return F.when(r.startswith("#x") | r.startswith("#X"), F.conv(F.substring(r, 3, 6), 16, 10)).when(r.startswith("#"), F.substring(r, 2, 7)).try_cast("int")
+
+    def character(x: Column) -> Column:
+        n = x["n"]
+        valid = (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+        by_number = F.when(n == 160, " ").when(n.between(1, 127), F.chr(n)).when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+        return F.when(n.isNotNull(), by_number).otherwise(F.try_element_at(names, x["r"]))
+
+    parts = F.transform(F.split(text, "&"), lambda p, i: F.struct(p.alias("p"), i.alias("i"), F.when(i > 0, F.regexp_extract(p, reference, 1)).alias("r")))
+    parts = F.transform(parts, lambda x: F.struct(x["p"].alias("p"), x["i"].alias("i"), x["r"].alias("r"), number(x["r"]).alias("n")))
+    parts = F.transform(parts, lambda x: F.struct(x["p"].alias("p"), x["i"].alias("i"), x["r"].alias("r"), F.when(x["r"] != "", character(x)).alias("c")))
+    whole = F.transform(parts, lambda x: F.when(x["i"] == 0, x["p"]).when(x["c"].isNull(), F.concat(F.lit("&"), x["p"])).otherwise(F.concat(x["c"], F.substr(x["p"], F.length(x["r"]) + 2))))
+    return F.array_join(whole, "")
 
 
 def plain_text(html: Column) -> Column:
