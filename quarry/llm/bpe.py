@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm.common import Batches, column_texts, limit_batches, unused_name
 
-#: A worker remembers the ids of this many pre-tokens before it forgets the older half; results don't depend on it.
-REMEMBERED = 600_000
+#: A worker remembers the ids of this many pre-tokens of at most so many characters before it forgets the older half, which
+#: bounds its memory whatever the texts hold; results don't depend on it.
+REMEMBERED, LONGEST = 600_000, 48
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -135,6 +136,8 @@ class _Remembered(dict):
         ids = self.older.get(token)
         if ids is None:
             ids = self.codec.encode_token(token.encode("utf-8"))
+            if len(token) > LONGEST:
+                return ids
         if len(self) >= REMEMBERED // 2:
             self.older = dict(self)
             self.clear()
