@@ -36,20 +36,27 @@ def _stage(f: Callable) -> Callable:
     return run_stage
 
 
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """Rows as one column beside the text, so that no column of theirs meets one that an operator adds."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
+
+
+def _whole(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+
+
 @_stage
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject. Null texts are scored as empty."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.classify_quality(docs, model, docs.columns)
-    return scored.where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    return _whole(docs, quality.classify_quality(_wrapped(docs), model, ["doc"]).where(F.col("score") >= quality.THRESHOLD))
 
 
 @_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't flag."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.classify_toxicity(docs, model, docs.columns)
-    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    return _whole(docs, toxicity.classify_toxicity(_wrapped(docs), model, ["doc"]).where(F.col("score") < toxicity.THRESHOLD))
 
 
 @_stage
