@@ -114,3 +114,29 @@ def test_all_tokens_are_packed(stages):
 def test_run_writes_each_stage(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, removed string, component_id long, `__row` string, d long, `__text` string"
+
+
+@pytest.mark.parametrize("rows", [0, 1])
+def test_odd_tables_through_all_stages(spark, tmp_path, rows):
+    """No documents at all; then null ids and texts, empty and repeated rows, and extra columns with the names that operators use."""
+    real = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = (0.5, "k", "r", 7, "w", 9, "t")
+    odd = [(None, None, None, None, None), (None, "", "en", "s", 0), (5, None, "en", "s", 0), (5, "", "en", "s", 0), (6, "one two", None, "s", 7), (6, "one two", None, "s", 7)]
+    made = [(*r, *extra) for r in odd] + [(r.doc_id + 1000, r.text, r.lang, r.source, r.n_chars, *extra) for r in real.collect()]
+    spark.createDataFrame(made if rows else [], CLASH).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").selectExpr("doc_id + 1000 as doc_id", "quality", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        if name != "packing":
+            assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        if not rows:
+            assert docs.count() == 0
+        elif name != "packing":
+            assert 0 < docs.count() <= len(made) and docs.select("score", "kept", "removed", "component_id", "__row", "d", "__text").distinct().count() == 1
+    assert (docs.count() > 0) == bool(rows)
