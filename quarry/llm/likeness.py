@@ -21,7 +21,7 @@ from quarry.llm.components import connected_components
 SHINGLE = 5
 BANDS, ROWS = 24, 5
 #: Rounds in which texts are compared with one of each meeting only, before all that still differ in component are.
-STARS = 2
+STARS = 1
 #: Pairs that a task compares before it yields candidates.
 _PAIRS = 1 << 20
 _BUCKETS = 128
@@ -185,7 +185,7 @@ def merge_similar(docs: DataFrame, known: DataFrame, text_col: str = "text") ->
         placed = rows.join(of, "d")
         still = stored(mixed(placed), "mixed")
         if turn < STARS:
-            centre = still.select("key", F.col("most_d" if turn else "least_d").alias("e"))
+            centre = still.select("key", F.col("most_d" if turn % 2 else "least_d").alias("e"))
             pairs = rows.join(centre, "key").where("d <> e").select(F.least("d", "e").alias("x"), F.greatest("d", "e").alias("y")).distinct()
             pairs = _not_ruled_out(pairs, known, of)
         else:

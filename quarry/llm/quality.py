@@ -111,7 +111,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", keep:
     rows = training_texts(docs, chosen, ["label"]).select(F.col("doc_id").cast("long"), "text", F.col("label").cast("int")).mapInArrow(run, "doc_id long, label int, buckets binary, vals binary")
     got = rows.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     views = [[np.frombuffer(x.as_buffer(), kind) for x in got[name]] for name, kind in (("buckets", np.uint32), ("vals", np.float32))]  # no copies on the driver
-    return fit_ftrl(list(zip(*views, got["label"].to_pylist(), strict=True)), bits, ngrams)
+    model = fit_ftrl(list(zip(*views, got["label"].to_pylist(), strict=True)), bits, ngrams)
+    del views, got
+    pa.default_memory_pool().release_unused()  # the driver goes on for long
+    return model
 
 
 def score_texts(docs: DataFrame, spark: SparkSession, scorer, columns: list[str]) -> DataFrame:
