@@ -115,9 +115,9 @@ def _with_volume(f: dict[str, Column], price: Column) -> dict[str, Column]:
 
 
 def tick(text: Column | str) -> dict[str, Column]:
-    """A tick's typed fields; the price falls back to the last, the dollar volume to price times volume, and says which."""
+    """A tick's typed fields; a price that is absent or 0 falls back to the last where there is one, the dollar volume to price times volume, and says which."""
     f = payload(text, {**dict.fromkeys(("price", "bid", "ask", "last", "volume", "dollar_volume"), "double"), "timestamp": "timestamp", "trade_id": "string"})
-    price = F.coalesce(F.nullif(f["price"], F.lit(0.0)), f["last"])
+    price = F.coalesce(F.nullif(f["price"], F.lit(0.0)), f["last"], f["price"])
     return _with_volume(f | {"price": price, "trade_id": F.coalesce(f["trade_id"], F.lit(""))}, price)
 
 

@@ -453,3 +453,10 @@ def test_passages_of_any_length(spark):
     assert got == {(i, k): t.index(p) for i, t in enumerate(texts) for k, p in enumerate(passages) if t and p and p in t}
     none = spark.createDataFrame([], "item_id long, text string")
     assert knowledge.evidence(spark.createDataFrame([(1, "x")], "doc_id long, text string"), none).count() == 0
+
+
+def test_ticks_of_price_zero(spark):
+    texts = spark.createDataFrame([(1, '{"price":0.0,"volume":"2"}'), (2, '{"price":0,"last":5,"volume":2}'), (3, '{"last":0.0,"volume":2}'), (4, '{"volume":2}')], "i int, j string")
+    f = scalars.tick("j")
+    got = {r.i: (r.p, r.d, r.s) for r in texts.select("i", f["price"].alias("p"), f["dollar_volume"].alias("d"), f["dollar_volume_source"].alias("s")).collect()}
+    assert got == {1: (0.0, 0.0, "computed"), 2: (5.0, 10.0, "computed"), 3: (0.0, 0.0, "computed"), 4: (None, None, "provided")}
