@@ -110,20 +110,26 @@ def _correlation(spark, sf):
 def components(edges: DataFrame) -> DataFrame:
     """`node, component` of an undirected graph (src, dst): a component is called by its smallest node.
 
-    In each round every node takes the least label of its neighbours, and then the label of its label, so that labels run
-    along paths in ever longer steps. The driver sees one count a round.
+    Alternating large and small stars, whose rounds grow with the logarithm of a component's size. Joins are by merging:
+    what a broadcast in each of many rounds leaves in the driver adds up with the nodes. Loops make a node of its own.
     """
-    both = settle(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    labels = settle(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("component")))
+    ends = settle(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("src is not null and dst is not null").distinct())
+    stars = ends.where("u <> v")
     while True:
-        known = labels.select(F.col("node").alias("x"), F.col("component").alias("c"))
-        near = both.join(known, F.col("dst") == F.col("x")).groupBy("src").agg(F.min("c").alias("m"))
-        lower = settle(labels.join(near, F.col("node") == F.col("src"), "left").select("node", F.least("component", F.coalesce("m", "component")).alias("now"), F.col("component").alias("was")))
-        ahead = lower.select(F.col("node").alias("x"), F.col("now").alias("to"))
-        jumped = settle(lower.select("node", "now", "was").join(ahead, F.col("now") == F.col("x"), "left").select("node", F.least("now", F.coalesce("to", "now")).alias("component"), "was"))
-        labels = jumped.select("node", "component")
-        if not jumped.where("component <> was").take(1):
-            return labels
+        several = stars.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
+        if not several.take(1) and not stars.join(stars.select(F.col("u").alias("v")).hint("merge"), "v", "left_semi").take(1):
+            break
+        # Large star: each node links its larger neighbours to the smallest node it knows.
+        both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # Small star: each node links its smaller neighbours and itself to the smallest of them.
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        stars = settle(small.where("u <> v").distinct())
+    labels = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    alone = ends.where("u = v").select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return labels.union(labels.select(F.col("component").alias("node"), "component")).union(alone).groupBy("node").agg(F.min("component").alias("component"))
 
 
 def spanning_forest(edges: DataFrame) -> DataFrame:

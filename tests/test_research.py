@@ -112,6 +112,23 @@ def test_components(spark):
     got = {r.node: r.component for r in graphs.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {**dict.fromkeys(range(21), 0), 100: 50, 50: 50, 75: 50}
     assert graphs.components(spark.createDataFrame([], "src long, dst long")).count() == 0
+    assert [(r.node, r.component) for r in graphs.components(spark.createDataFrame([(7, 7), (None, 3)], "src long, dst long")).collect()] == [(7, 7)]
+
+
+def test_components_broadcast_nothing(spark, monkeypatch):
+    rounds, settle = [], graphs.settle
+
+    def kept(df):
+        out = settle(df)
+        rounds.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(graphs, "settle", kept)
+    chain = list(range(300))
+    random.Random(3).shuffle(chain)
+    got = graphs.components(spark.createDataFrame(list(zip(chain, chain[1:], strict=False)), "src long, dst long"))
+    assert got.where("component = 0").count() == 300 == got.count()
+    assert len(rounds) < 16 and not any("BroadcastExchange" in p for p in rounds)
 
 
 def test_assumptions(spark):
