@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import gzip
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -52,16 +52,33 @@ def decoded(text: Column) -> Column:
     return F.array_join(whole, "")
 
 
+def _where(text: Column, marks: dict[str, Callable[[Column], Column]]) -> Column:
+    """Steps in order, each only for texts that had its mark (lower-case ASCII) at the beginning, in either case: a step adds no mark.
+
+    Each is an array made from the one before, so that no text is made twice.
+    """
+
+    def taken(mark: str, step: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        return lambda s: F.struct(F.when(F.contains(s["l"], F.lit(mark)), step(s["t"])).otherwise(s["t"]).alias("t"), s["l"].alias("l"))
+
+    x = F.transform(F.array(text), lambda t: F.struct(t.alias("t"), F.lower(t).alias("l")))
+    for mark, step in marks.items():
+        x = F.transform(x, taken(mark, step))
+    return F.element_at(x, 1)["t"]
+
+
 def plain_text(html: Column) -> Column:
     """The visible text of an HTML page, a line for each block; null is empty."""
-    text = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", " ")
+    steps = {"<!--": lambda t: F.regexp_replace(t, r"(?s)<!--.*?-->", " ")}
     for tag in _HIDDEN:
         end = r"|\z" if tag in _TO_THE_END else ""
-        text = F.regexp_replace(text, rf"(?is)<{tag}(?:\s[^>]*)?>.*?(?:</{tag}\s*>{end})", " ")
+        steps[f"<{tag}"] = lambda t, tag=tag, end=end: F.regexp_replace(t, rf"(?is)<{tag}(?:\s[^>]*)?>.*?(?:</{tag}\s*>{end})", " ")
+    text = _where(F.coalesce(html, F.lit("")), steps)
     text = F.regexp_replace(F.regexp_replace(text, _BLOCK_TAGS, "\n"), r"<[^>]*>", "")
-    text = decoded(text)
-    text = F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f]+", " "), r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
+    text = _where(text, {"&": decoded})
+    # Neither pattern matches what it would leave as it is: single blanks and single ends of lines.
+    text = F.regexp_replace(F.regexp_replace(text, r"[\t\r\f][ \t\r\f]*| [ \t\r\f]+", " "), r" \n[ \n]*|\n[ \n]+", "\n")
+    return F.btrim(text, F.lit(" \n"))
 
 
 def page_title(html: Column) -> Column:

@@ -6,6 +6,7 @@ import itertools
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -652,3 +653,11 @@ def test_warc_files_round_trip(spark):
     for bad in (b"junk", bytes(records.first().record)[:-5]):
         with pytest.raises(ValueError, match="record"):
             warc.parse_warc(bad)
+
+
+def test_warc_text_ends_as_in_sql_and_hidden_parts_go_in_either_case(spark):
+    pages = ["a  ", "b \u0085", "<SCRIPT>x</script>c", "<script<!-- x -->>q</script>d", "<scr<!-- -->ipt>v</script>", "<!--a<style>b-->e</style>", " \n x \n \n y \t z\r\n\n", "f&amp;lt;<STYLE>open", None]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    got = {r.i: r.t for r in df.select("i", warc.plain_text(F.col("html")).alias("t")).collect()}
+    ends = [duckdb.execute(r"SELECT regexp_replace(?, '^[ \n]+|[ \n]+$', '', 'g')", [p]).fetchone()[0] for p in pages[:2]]
+    assert list(got.values()) == [*ends, "c", "d", "v", "e", "x\ny z", "f&lt;", ""]
