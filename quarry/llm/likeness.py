@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quarry.llm.bloom import Bloom
 from quarry.llm.common import LOWER, WORDS, Batches, column_bytes, limit_batches, stored
 from quarry.llm.components import connected_components
 
@@ -194,8 +195,8 @@ def merge_similar(docs: DataFrame, known: DataFrame, text_col: str = "text") ->
         pairs = stored(pairs, "candidates")
         if not pairs.take(1):
             continue
-        wanted = pairs.select(F.col("x").alias("d")).union(pairs.select("y")).distinct()
-        sets = texts.join(wanted, "d", "left_semi").groupBy("d").agg(F.first("text").alias("text")).mapInArrow(_sets, "d long, s binary")
+        wanted = stored(pairs.select(F.col("x").alias("d")).union(pairs.select("y")).distinct(), "wanted")
+        sets = Bloom(wanted, "d").maybe(texts, "d").join(wanted, "d", "left_semi").groupBy("d").agg(F.first("text").alias("text")).mapInArrow(_sets, "d long, s binary")
         sets = stored(sets, "shingles")
         both = pairs.join(sets.toDF("x", "a"), "x").join(sets.toDF("y", "b"), "y").select("x", "y", "a", "b")
         links = both.mapInArrow(_verified, "u long, v long")

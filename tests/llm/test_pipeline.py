@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -140,3 +142,28 @@ def test_odd_tables_through_all_stages(spark, tmp_path, rows):
         elif name != "packing":
             assert 0 < docs.count() <= len(made) and docs.select("score", "kept", "removed", "component_id", "__row", "d", "__text").distinct().count() == 1
     assert (docs.count() > 0) == bool(rows)
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.drop_near_copies, corpus_pipeline.drop_repeated_passages])
+def test_only_texts_that_a_join_may_find_are_shuffled(spark, tmp_path, stage):
+    """With joins that never broadcast, few copies among long texts: what both stages shuffle is a part of the texts, not all of them several times."""
+    rnd = random.Random(3)
+    texts = ["".join(chr(rnd.randrange(97, 123)) if rnd.random() < 0.8 else " " for _ in range(8000)) for _ in range(400)]
+    texts += [t[:4000] + t[4100:] for t in texts[:8]] + texts[:8] + [None, ""]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(i, t, "xx", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(path)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: {s.stageId(): s.shuffleWriteBytes() for s in (x.apply(i) for x in [store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)] for i in range(x.size()))}
+    before = set(stages())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = {r.doc_id: r.text for r in stage(spark, spark.read.parquet(path), "").collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(n for i, n in stages().items() if i not in before) < 0.8 * sum(len(t or "") for t in texts)
+    alone = {i: t for i, t in enumerate(texts[8:400], 8)}
+    assert {i: kept[i] for i in alone} == alone
+    if stage is corpus_pipeline.drop_near_copies:
+        assert not kept.keys() & set(range(400, 416)) and kept.keys() >= set(range(400)) | {416}
+    else:
+        assert len(kept) == len(texts) and all(not kept[i] for i in range(408, 416)) and kept[416] is None
