@@ -6,15 +6,19 @@ group of codes are decoded by arrays: what a code word at each bit would be is l
 the bits where code words begin, and copies and cached colours are followed back to their literals by pointer doubling.
 
 The encoder chooses for each image what takes the fewest bits by estimate: no transform, subtract-green, the predictors from
-the left or from above, or a palette; no colour cache or one; then back-references and prefix codes made from the counts. An
-image of fewer than 1536 pixels (4.6 kB of text) with more than a few colours gets literals of eight bits, which cost less than a code.
+the left or from above, or a palette; no colour cache or one; then back-references and prefix codes made from the counts, or level
+codes of one length where those with their lists of lengths take fewer bits. Images of all sizes go the same way.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
+from array import array
+from bisect import bisect_left
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -40,6 +44,7 @@ _CACHE_FACTOR = 0x1E35A7BD
 _BY_ARRAYS = 96
 #: Bits whose code words are looked up at once.
 _AT_ONCE = 1 << 17
+_EIGHT = np.arange(8, dtype=np.uint32)
 
 
 class BadImage(ValueError):
@@ -87,25 +92,30 @@ def _reversal(bits: int) -> np.ndarray:
     return out
 
 
+_SEVEN = _reversal(7).tolist()
+
+
 class PrefixCode:
     """A canonical prefix code of lengths up to 15, as a table over the next `bits` bits."""
 
-    def __init__(self, lengths: tuple[int, ...]) -> None:
-        of = np.array(lengths, np.int64)
-        used = np.flatnonzero(of)
+    def __init__(self, lengths: bytes) -> None:
+        of = np.frombuffer(lengths, np.uint8)
+        used = of.nonzero()[0]
         self.most = int(used[-1]) if len(used) else 0
         if len(used) < 2:  # a lone symbol takes no bits
             self.bits = 0
             self.table, self.sizes = np.array([self.most], np.uint16), np.zeros(1, np.uint8)
         else:
-            self.bits = int(of.max())
-            spans = 1 << self.bits - of[used]
+            of = of[used]
+            order = of.argsort(kind="stable")  # canonical: words go up with (length, symbol)
+            of = of[order]
+            self.bits = int(of[-1])
+            spans = 1 << self.bits - of.astype(np.int64)
             if spans.sum() != 1 << self.bits:
                 raise BadImage("a prefix code is not complete")
-            order = np.argsort(of[used], kind="stable")  # canonical: words go up with (length, symbol)
             back = _reversal(self.bits)
-            self.table = np.repeat(used[order], spans[order]).astype(np.uint16)[back]
-            self.sizes = np.repeat(of[used][order], spans[order]).astype(np.uint8)[back]
+            self.table = used[order].astype(np.uint16).repeat(spans)[back]
+            self.sizes = of.repeat(spans)[back]
         self.symbols, self.lengths = memoryview(self.table), memoryview(self.sizes)
 
     @property
@@ -122,12 +132,26 @@ class PrefixCode:
 
 
 @lru_cache(maxsize=512)
-def _code(lengths: tuple[int, ...]) -> PrefixCode:
+def _code(lengths: bytes) -> PrefixCode:
     return PrefixCode(lengths)
 
 
+def _few_entries(lengths: bytearray) -> list[tuple[int, int]]:
+    """Symbol and length of the code word at the start of each seven bits, of a code of lengths up to 7; a lone symbol takes no bits."""
+    used = sorted((n, s) for s, n in enumerate(lengths) if n)
+    if len(used) < 2:
+        return [(used[0][1] if used else 0, 0)] * 128
+    if sum(128 >> n for n, _ in used) != 128:
+        raise BadImage("a prefix code is not complete")
+    table, word = [(0, 0)] * 128, 0
+    for n, s in used:
+        table[_SEVEN[word] :: 1 << n] = [(s, n)] * (128 >> n)
+        word += 128 >> n
+    return table
+
+
 def _read_code(bits: Bits, alphabet: int) -> PrefixCode:
-    lengths = [0] * alphabet
+    lengths = bytearray(alphabet)
     if bits.read(1):
         two = bits.read(1)
         for width in [1 + 7 * bits.read(1)] + [8] * two:
@@ -135,25 +159,25 @@ def _read_code(bits: Bits, alphabet: int) -> PrefixCode:
             if s >= alphabet:
                 raise BadImage("a symbol is not in its alphabet")
             lengths[s] = 1
-        return _code(tuple(lengths))
-    of = [0] * 19
+        return _code(bytes(lengths))
+    of = bytearray(19)
     for i in range(4 + bits.read(4)):
         of[_LENGTH_ORDER[i]] = bits.read(3)
-    code, left = _code(tuple(of)), alphabet
+    left = alphabet
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
-    symbols, sizes, mask = code.symbols, code.lengths, (1 << code.bits) - 1
-    at, last, window, have = 0, 8, 0, 0
+    table = _few_entries(of)
+    at, last, window, have, used = 0, 8, 0, 0, 0
     while at < alphabet and left:
         if have < 14:  # a code word of 7 bits and 7 more
             have = 448
-            window = int.from_bytes(bits.data[bits.at >> 3 : (bits.at >> 3) + 57], "little") >> (bits.at & 7) & (1 << have) - 1
+            byte = bits.at + used >> 3
+            window = int.from_bytes(bits.data[byte : byte + 57], "little") >> (bits.at + used & 7) & (1 << have) - 1
         left -= 1
-        entry = window & mask
-        s, n = symbols[entry], sizes[entry]
+        s, n = table[window & 127]
         if s < 16:
-            lengths[at] = s
-            last = s or last
+            if s:
+                lengths[at] = last = s
             at += 1
         else:
             extra = (2, 3, 7)[s - 16]
@@ -162,14 +186,15 @@ def _read_code(bits: Bits, alphabet: int) -> PrefixCode:
             if at + times > alphabet:
                 raise BadImage("code lengths run over")
             if s == 16:
-                lengths[at : at + times] = [last] * times
+                lengths[at : at + times] = bytes([last]) * times
             at += times
         window >>= n
         have -= n
-        bits.at += n
+        used += n
+    bits.at += used
     if bits.at > bits.size:
         raise BadImage("the data end too early")
-    return _code(tuple(lengths))
+    return _code(bytes(lengths))
 
 
 def _read_codes(bits: Bits, alphabets: tuple[int, ...]) -> list[PrefixCode]:
@@ -263,7 +288,7 @@ def _tokens(bits: Bits, group: list[PrefixCode], total: int) -> list[np.ndarray]
     """Green symbols of the code words that make up `total` pixels, their pixel counts, distance codes (of copies) and colours (of literals)."""
     green, red, blue, alpha, far = group
     kinds = green.sizes | np.where(green.table < 256, 0, np.where(green.table < 280, 64, 128)).astype(np.uint8)
-    masks = [np.uint32((1 << c.bits) - 1) for c in group]
+    masks = [(1 << c.bits) - 1 for c in group]
     found: list[list[np.ndarray]] = [[] for _ in range(4)]
     left = total
     while left > 0:
@@ -273,28 +298,38 @@ def _tokens(bits: Bits, group: list[PrefixCode], total: int) -> list[np.ndarray]
         byte, skip = bits.at >> 3, bits.at & 7
         raw = np.frombuffer(bits.data[byte : byte + (skip + n + 160 >> 3) + 4].ljust((skip + n + 160 >> 3) + 4, b"\0"), np.uint8).astype(np.uint32)
         words = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
-        window = (words[:, None] >> np.arange(8, dtype=np.uint32)).ravel()[skip:]  # 25 bits or more from each bit on
-        kind = kinds[window[:n] & masks[0]]
-        end = np.arange(n, dtype=np.int32) + (kind & 63)
+        window = (words[:, None] >> _EIGHT).ravel()[skip:].astype(np.int64)  # 25 bits or more from each bit on
+        here = np.arange(n)
+        kind = kinds.take(window[:n] & masks[0])
+        green_bits = kind & 63
+        end = here + green_bits
         looked: dict[int, np.ndarray] = {}
         for code, mask in zip((red, blue, alpha), masks[1:4], strict=True):
             if code.bits:
                 if id(code) not in looked:
-                    looked[id(code)] = code.sizes[window & mask]
-                end += looked[id(code)][end]
-        step = (end - np.arange(n, dtype=np.int32)).astype(np.uint8)
-        cached, copies = np.flatnonzero(kind >= 128), np.flatnonzero(kind & 64)
-        step[cached] = kind[cached] & 63
+                    looked[id(code)] = code.sizes.take(window & mask)
+                end += looked[id(code)].take(end)
+        end -= here
+        step = end.astype(np.uint8)
+        if green.most >= 280:
+            np.copyto(step, green_bits, where=kind >= 128)
+        copies = (kind & 64).nonzero()[0]
         if len(copies):
-            at = copies + (kind[copies] & 63)
-            at += _extra(green.table[window[copies] & masks[0]].astype(np.int64) - 256)
+            at = copies + green_bits[copies]
+            at += _extra(green.table.take(window[copies] & masks[0]).astype(np.int64) - 256)
             entry = window[at] & masks[4]
-            step[copies] = at + far.sizes[entry] + _extra(far.table[entry].astype(np.int64)) - copies
-        chain, places, p = memoryview(step), [], 0
+            step[copies] = at + far.sizes.take(entry) + _extra(far.table.take(entry).astype(np.int64)) - copies
+        second = (here + step).clip(max=n)
+        twice = np.append(step, np.uint8(0)).take(second) + step  # the code word at each bit and the next, if that begins here too
+        chain, places, p = twice.tobytes(), array("q"), 0
+        add = places.append
         while p < n:
-            places.append(p)
+            add(p)
             p += chain[p]
-        at = np.array(places)
+        at = np.frombuffer(places, np.int64)
+        at = np.stack([at, second[at]], axis=1).ravel()
+        at = at[: len(at) - (at[-1] >= n)]
+        start = at
         entry = window[at] & masks[0]
         symbol = green.table[entry].astype(np.int64)
         at = at + green.sizes[entry]
@@ -302,11 +337,11 @@ def _tokens(bits: Bits, group: list[PrefixCode], total: int) -> list[np.ndarray]
         copies = np.flatnonzero((symbol >= 256) & (symbol < 280))
         if len(copies):
             prefix, place = symbol[copies] - 256, at[copies]
-            count[copies] = _values(prefix, window[place].astype(np.int64))
+            count[copies] = _values(prefix, window[place])
             place = place + _extra(prefix)
             entry = window[place] & masks[4]
             prefix = far.table[entry].astype(np.int64)
-            distance[copies] = _values(prefix, window[place + far.sizes[entry]].astype(np.int64))
+            distance[copies] = _values(prefix, window[place + far.sizes[entry]])
         literals = np.flatnonzero(symbol < 256)
         place, value = at[literals], symbol[literals].astype(np.uint32) << np.uint32(8)
         for code, mask, shift in zip((red, blue, alpha), masks[1:4], (16, 0, 24), strict=True):
@@ -319,7 +354,7 @@ def _tokens(bits: Bits, group: list[PrefixCode], total: int) -> list[np.ndarray]
         if last < len(done):  # the image ends with this code word
             if done[last] != left:
                 raise BadImage("a back-reference leaves the image")
-            p = places[last + 1] if last + 1 < len(places) else p
+            p = int(start[last + 1]) if last + 1 < len(start) else p
             symbol, count, distance, colour = (x[: last + 1] for x in (symbol, count, distance, colour))
         left -= int(count.sum())
         bits.at += p
@@ -559,9 +594,9 @@ def decode(data: bytes) -> np.ndarray:
             pixels = _undo_green(pixels)
         else:
             pixels = _undo_palette(pixels, _blocks(w, size), w, height, size, image)
-    out = pixels.view(np.uint8).reshape(height, width, 4)[:, :, [2, 1, 0, 3]].copy()
-    if opaque:
-        out[:, :, 3] = 255
+    samples, out = pixels.view(np.uint8).reshape(height, width, 4), np.empty((height, width, 4), np.uint8)
+    out[:, :, 0], out[:, :, 1], out[:, :, 2] = samples[:, :, 2], samples[:, :, 1], samples[:, :, 0]
+    out[:, :, 3] = 255 if opaque else samples[:, :, 3]
     return out
 
 
@@ -610,55 +645,167 @@ def wrap(bits: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", 12 + len(padded)) + b"WEBPVP8L" + struct.pack("<I", len(bits)) + padded
 
 
+def _depths(weights: list[int]) -> list[int]:
+    """Depths in a tree of least weight, of two or more leaves that are in order of weight."""
+    n, most = len(weights), sum(weights) + 1
+    leaves, inner = [*weights, most], [most] * n
+    of_leaf, of_inner = [0] * n, [0] * n
+    leaf = node = 0
+    for new in range(n - 1):
+        a, b = leaves[leaf], inner[node]
+        if a <= b:
+            of_leaf[leaf] = new
+            leaf += 1
+        else:
+            a = b
+            of_inner[node] = new
+            node += 1
+        b, c = leaves[leaf], inner[node]
+        if b <= c:
+            of_leaf[leaf] = new
+            leaf += 1
+        else:
+            b = c
+            of_inner[node] = new
+            node += 1
+        inner[new] = a + b
+    depth = [0] * (n - 1)
+    for i in range(n - 3, -1, -1):
+        depth[i] = depth[of_inner[i]] + 1
+    return [depth[i] + 1 for i in of_leaf]
+
+
 def _lengths(counts: np.ndarray, most: int) -> np.ndarray:
     """Lengths, up to `most`, of a prefix code for symbols that occur `counts` times; a lone symbol has length 1."""
     out = np.zeros(len(counts), np.int64)
-    used = np.flatnonzero(counts)
+    used = counts.nonzero()[0]
     if len(used) < 2:
         out[used] = 1
         return out
     weights = counts[used]
     while True:
-        order = np.argsort(weights, kind="stable")
-        n = len(order)
-        leaves, inner, parent = weights[order].tolist(), [], [0] * (2 * n - 1)
-        leaf = node = 0
-        for new in range(n, 2 * n - 1):
-            total = 0
-            for _ in range(2):
-                if node >= len(inner) or leaf < n and leaves[leaf] <= inner[node]:
-                    total += leaves[leaf]
-                    parent[leaf] = new
-                    leaf += 1
-                else:
-                    total += inner[node]
-                    parent[n + node] = new
-                    node += 1
-            inner.append(total)
-        depth = [0] * (2 * n - 1)
-        for i in range(2 * n - 3, -1, -1):
-            depth[i] = depth[parent[i]] + 1
-        if max(depth[:n]) <= most:
-            out[used[order]] = depth[:n]
+        order = weights.argsort(kind="stable")
+        depths = _depths(weights[order].tolist())
+        if max(depths) <= most:
+            out[used[order]] = depths
             return out
         weights = weights // 2 + 1
 
 
 def _words(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code words, as they are sent, and their sizes; a lone symbol takes no bits."""
-    used = np.flatnonzero(lengths)
+    used = lengths.nonzero()[0]
     words, sizes = np.zeros(len(lengths), np.uint64), np.zeros(len(lengths), np.int64)
     if len(used) > 1:
-        bits = int(lengths.max())
-        order = used[np.argsort(lengths[used], kind="stable")]
+        order = used[lengths[used].argsort(kind="stable")]
+        bits = int(lengths[order[-1]])
         spans = 1 << bits - lengths[order]
         words[order] = _reversal(bits)[np.cumsum(spans) - spans]
         sizes[used] = lengths[used]
     return words, sizes
 
 
+#: What is sent of a list of lengths, by number: a length, 3 to 6 repeats, 3 to 10 zeros, 11 to 138 zeros; the symbol and, as text, its extra bits.
+_SENT = [(i, "") for i in range(16)] + [(s, f"{i:0{n}b}"[::-1]) for s, n in ((16, 2), (17, 3), (18, 7)) for i in range(1 << n)]
+#: Words of up to 7 bits, as text, by size and place among the words of seven bits.
+_WORD = [[""] * 128] + [[f"{_SEVEN[w] & (1 << n) - 1:0{n}b}"[::-1] for w in range(128)] for n in range(1, 8)]
+
+
+def _listed(lengths: np.ndarray, used: np.ndarray) -> list[int]:
+    """Numbers in `_SENT` of a list of lengths; those in `used` are not 0."""
+    sent: list[int] = []
+    before, last, run = -1, 0, 0
+    for s, n in zip([*used.tolist(), len(lengths)], [*lengths[used].tolist(), 0], strict=True):
+        gap = s - before - 1
+        if n == last and not gap:
+            run += 1
+        else:
+            while run >= 3:
+                now = min(run, 6)
+                sent.append(13 + now)
+                run -= now
+            if run:
+                sent += [last] * run
+                run = 0
+            while gap >= 3:
+                now = min(gap, 138)
+                sent.append(17 + now)
+                gap -= now
+            if gap:
+                sent += [0] * gap
+            sent.append(n)
+            last = n
+        before = s
+    return sent[:-1]
+
+
+def _few_lengths(counts: list[int]) -> list[int]:
+    """As `_lengths`, of a short list of counts, up to 7."""
+    out = [0] * len(counts)
+    used = [(n, s) for s, n in enumerate(counts) if n]
+    if len(used) == 1:
+        out[used[0][1]] = 1
+    while len(used) > 1:
+        used.sort()
+        depths = _depths([n for n, _ in used])
+        if max(depths) <= 7:
+            for (_, s), n in zip(used, depths, strict=True):
+                out[s] = n
+            break
+        used = [(n // 2 + 1, s) for n, s in used]
+    return out
+
+
+def _few_words(lengths: list[int]) -> list[str]:
+    """As `_words`, of a short list of lengths up to 7, as text."""
+    words = [""] * len(lengths)
+    used = sorted((n, s) for s, n in enumerate(lengths) if n)
+    word = 0
+    for n, s in used if len(used) > 1 else []:
+        words[s] = _WORD[n][word]
+        word += 128 >> n
+    return words
+
+
+def _level(lengths: np.ndarray) -> np.ndarray:
+    """Lengths of a code of one length for the symbols in use and as many beside them, in the narrowest gaps first, as make it complete."""
+    on = lengths > 0
+    bits = int(on.sum() - 1).bit_length()
+    while left := (1 << bits) - int(on.sum()):
+        used = on.nonzero()[0]
+        gaps = np.diff(used) - 1
+        if gaps.any():
+            i = int(np.where(gaps > 0, gaps, len(on)).argmin())
+            on[used[i] + 1 : used[i] + 1 + min(int(gaps[i]), left)] = True
+        else:
+            on[used[-1] + 1 : used[-1] + 1 + left] = True
+            left = (1 << bits) - int(on.sum())
+            on[used[0] - left : used[0]] = True
+    return np.where(on, bits, 0)
+
+
+#: Bits a symbol in use that a list of equal lengths is expected to save at most.
+_MOST_SAVED = 4
+
+
+def _made_code(counts: np.ndarray, times: int = 1) -> tuple[BitWriter, np.ndarray]:
+    """A code, which is written `times` times, as it is sent, and its lengths: fitted to the counts or level, whichever takes fewer bits in all."""
+    code, used = BitWriter(), int(np.count_nonzero(counts))
+    lengths = _lengths(counts, 15)
+    _write_code(code, lengths)
+    if used < 3:
+        return code, lengths
+    more = (used - 1).bit_length() * int(counts.sum()) - int(counts @ lengths)
+    if more < times * _MOST_SAVED * used:
+        level, other = _level(lengths), BitWriter()
+        _write_code(other, level)
+        if more < times * (code.size - other.size):
+            return other, level
+    return code, lengths
+
+
 def _write_code(writer: BitWriter, lengths: np.ndarray) -> None:
-    used = np.flatnonzero(lengths)
+    used = lengths.nonzero()[0]
     if len(used) < 3 and (not len(used) or used[-1] < 256):
         if len(used) == 2:
             for value, n in ((1, 1), (1, 1), (1, 1), (int(used[0]), 8), (int(used[1]), 8)):
@@ -666,33 +813,21 @@ def _write_code(writer: BitWriter, lengths: np.ndarray) -> None:
         else:
             write_lone(writer, int(used[0]) if len(used) else 0)
         return
-    starts = np.flatnonzero(np.concatenate([[True], lengths[1:] != lengths[:-1]]))
-    sent: list[tuple[int, int, int]] = []  # (symbol, extra, bits of extra)
-    for value, run in zip(lengths[starts].tolist(), np.diff(np.append(starts, len(lengths))).tolist(), strict=True):
-        if value:
-            sent.append((value, 0, 0))
-            run -= 1
-        while run >= 3:
-            now = min(run, 6 if value else 138)
-            sent.append((16, now - 3, 2) if value else (17, now - 3, 3) if now < 11 else (18, now - 11, 7))
-            run -= now
-        if run:
-            sent += [(value, 0, 0)] * run
-    counts = [0] * 19
-    for s, _, _ in sent:
-        counts[s] += 1
-    of = _lengths(np.array(counts), 7)
-    words, sizes = (x.tolist() for x in _words(of))
+    sent = _listed(lengths, used)
+    kinds, counts = Counter(sent), [0] * 19
+    for i, times in kinds.items():
+        counts[_SENT[i][0]] += times
+    of = _few_lengths(counts)
+    words = _few_words(of)
+    table = {i: words[_SENT[i][0]] + _SENT[i][1] for i in kinds}  # bits in the order they are sent
     count = max(4, 1 + max(i for i, s in enumerate(_LENGTH_ORDER) if of[s]))
     bits, n = (count - 4) << 1, 5
     for s in _LENGTH_ORDER[:count]:
-        bits |= int(of[s]) << n
+        bits |= of[s] << n
         n += 3
     n += 1
-    for s, extra, more in sent:
-        bits |= (words[s] | extra << sizes[s]) << n
-        n += sizes[s] + more
-    writer.write(bits, n)
+    body = "".join([table[i] for i in sent])
+    writer.write(bits | int(body[::-1] or "0", 2) << n, n + len(body))
 
 
 def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -710,16 +845,17 @@ def _copies(pixels: np.ndarray) -> tuple[list[int], list[int], list[int]]:
     m = len(pixels) - _LEAST_COPY + 1
     if m < 2:
         return [], [], []
-    key = np.zeros(m, np.uint64)
-    for i in range(_LEAST_COPY):
-        key = (key ^ pixels[i : i + m]) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    order = np.argsort(key, kind="stable")
-    same = key[order[1:]] == key[order[:-1]]
+    pairs = pixels[:-1].astype(np.uint64) << np.uint64(32) | pixels[1:]
+    first, second = pairs[:m], pairs[2:]
+    key = (first ^ first >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) ^ second
+    key = (key ^ key >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    low = np.uint64((1 << m.bit_length()) - 1)
+    key = np.sort(key & ~low | np.arange(m, dtype=np.uint64))  # by hash, then by place
+    same = (key[1:] ^ key[:-1]) <= low
+    order = (key & low).astype(np.int64)
     now, before = order[1:][same], order[:-1][same]
-    for i in range(_LEAST_COPY):
-        ok = pixels[now + i] == pixels[before + i]
-        now, before = now[ok], before[ok]
+    ok = (first[now] == first[before]) & (second[now] == second[before])
+    now, before = now[ok], before[ok]
     distance = np.zeros(m, np.int64)
     distance[now] = np.where(now - before <= _FARTHEST, now - before, 0)
     places = np.flatnonzero(distance)
@@ -731,7 +867,7 @@ def _copies(pixels: np.ndarray) -> tuple[list[int], list[int], list[int]]:
     starts, lengths, distances, done, i = [], [], [], 0, 0
     while i < len(at):
         if at[i] < done:
-            i = int(np.searchsorted(places, done))
+            i = bisect_left(at, done, i)
             continue
         n = min(reach[i], _MOST_COPY)
         starts.append(at[i])
@@ -750,16 +886,15 @@ def _distance_codes(width: int) -> dict[int, int]:
     return codes
 
 
-def _cost(counts: np.ndarray) -> float:
-    """Bits of symbols under a code made for them, and of the code."""
+def _cost(counts: np.ndarray, codes: int = 1) -> float:
+    """Bits of symbols under a code made for them, and of the code; or of as many codes of the same number of symbols."""
     n = counts[counts > 0].astype(float)
-    if len(n) < 2:
-        return 20.0
-    return float((n * np.log2(n.sum() / n)).sum()) + 4 * len(n) + 20
+    each = n.sum() / codes
+    return (codes * each * math.log2(each) if each else 0.0) - float(n @ np.log2(n)) + 4 * len(n) + 20 * codes
 
 
-def _write_image(writer: BitWriter, pixels: np.ndarray, width: int, main: bool) -> np.ndarray:
-    """An entropy-coded image of ARGB values: the codes go to `writer`; the bits that follow are returned."""
+def _write_image(writer: BitWriter, pixels: np.ndarray, width: int, main: bool) -> None:
+    """An entropy-coded image of ARGB values."""
     total = len(pixels)
     starts, lengths, distances = _copies(pixels) if main else ([], [], [])
     literal = np.ones(total, bool)
@@ -768,47 +903,46 @@ def _write_image(writer: BitWriter, pixels: np.ndarray, width: int, main: bool)
     if len(at):
         literal[np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())] = False
     codes = _distance_codes(width)
-    length_prefix, length_extra, length_bits = _prefixes(n)
-    far_prefix, far_extra, far_bits = _prefixes(np.array([codes.get(d, d + 120) for d in distances], np.int64))
-    channels = [(pixels >> np.uint32(s) & np.uint32(255)).astype(np.int64) for s in (8, 16, 0, 24)]
-
-    def counted(cache_bits: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        symbol, plain = channels[0], literal
-        if cache_bits:
-            slot = ((pixels * np.uint32(_CACHE_FACTOR)) >> np.uint32(32 - cache_bits)).astype(np.uint16)
-            order = np.argsort(slot, kind="stable")
-            hit = np.zeros(total, bool)
-            hit[order[1:]] = pixels[order[1:]] == pixels[order[:-1]]  # of equal colours, equal slots
-            symbol = np.where(hit, 280 + slot.astype(np.int64), symbol)
-            plain = literal & ~hit
-        green = np.bincount(symbol[literal], minlength=280 + (1 << cache_bits if cache_bits else 0))
-        green[256:280] = np.bincount(length_prefix, minlength=24)
-        return symbol, plain, [green] + [np.bincount(c[plain], minlength=256) for c in channels[1:]] + [np.bincount(far_prefix, minlength=40)]
-
-    cache_bits = 0
-    symbol, plain, counts = counted(0)
-    if main and total >= 512:
-        wide = min(11, total.bit_length() - 2)
-        with_cache = counted(wide)
-        if sum(map(_cost, with_cache[2])) < sum(map(_cost, counts)):
-            cache_bits, (symbol, plain, counts) = wide, with_cache
+    (length_prefix, far_prefix), (length_extra, far_extra), (length_bits, far_bits) = (
+        x.reshape(2, -1) for x in _prefixes(np.array([*lengths, *[codes.get(d, d + 120) for d in distances]], np.int64))
+    )
+    channels = pixels.view(np.uint8).reshape(-1, 4)[:, [1, 2, 0, 3]].T.astype(np.int64)
+    copied = np.bincount(length_prefix, minlength=24)
+
+    def counted(symbol: np.ndarray, plain: np.ndarray, cached: int) -> tuple[np.ndarray, np.ndarray]:
+        green = np.bincount(symbol[literal], minlength=280 + cached)
+        green[256:280] = copied
+        return green, np.bincount(channels[1:3, plain].ravel(), minlength=256)  # red and blue share a code, which is made and read once
+
+    cache_bits, symbol, plain = 0, channels[0], literal
+    counts = counted(symbol, plain, 0)
+    if main and total > 1:
+        wide = min(11, max(1, total.bit_length() - 2))
+        slot = ((pixels * np.uint32(_CACHE_FACTOR)) >> np.uint32(32 - wide)).astype(np.uint16)
+        order = slot.argsort(kind="stable")
+        hit = np.zeros(total, bool)
+        hit[order[1:]] = pixels[order[1:]] == pixels[order[:-1]]  # of equal colours, equal slots
+        if (hit & literal).any():
+            with_cache = np.where(hit, slot + np.int64(280), symbol), literal & ~hit
+            other = counted(*with_cache, 1 << wide)
+            if _cost(other[0]) + _cost(other[1]) + 4 * (other[1] > 0).sum() < _cost(counts[0]) + _cost(counts[1]) + 4 * (counts[1] > 0).sum():
+                cache_bits, (symbol, plain), counts = wide, with_cache, other
     writer.write(1 | cache_bits << 1 if cache_bits else 0, 5 if cache_bits else 1)
     if main:
         writer.write(0, 1)  # one group of codes
-    counts[1] = counts[2] = counts[1] + counts[2]  # red and blue share a code, which is made and read once
     all_words: list[tuple[np.ndarray, np.ndarray]] = []
-    for i, c in enumerate(counts):
-        if i != 2:
-            lengths_of, code = _lengths(c, 15), BitWriter()
-            _write_code(code, lengths_of)
-            words_of = _words(lengths_of)
-        writer.write(code.value, code.size)
-        all_words.append(words_of)
+    for c, times in ((counts[0], 1), (counts[1], 2), (np.bincount(channels[3, plain] if main else channels[3], minlength=256), 1), (np.bincount(far_prefix, minlength=40), 1)):
+        code, lengths_of = _made_code(c, times)
+        for _ in range(times):
+            writer.write(code.value, code.size)
+        all_words += [_words(lengths_of)] * times
     value, size = all_words[0][0][symbol], all_words[0][1][symbol]
+    where = plain.nonzero()[0]
     for c, (words, sizes) in zip(channels[1:], all_words[1:4], strict=True):
         if sizes.any():
-            value = value | np.where(plain, words[c] << size.astype(np.uint64), np.uint64(0))
-            size = size + np.where(plain, sizes[c], 0)
+            c = c[where]
+            value[where] |= words[c] << size[where].astype(np.uint64)
+            size[where] += sizes[c]
     if len(at):
         words, sizes = all_words[0][0][256 + length_prefix], all_words[0][1][256 + length_prefix]
         for v, k in ((length_extra, length_bits), (all_words[4][0][far_prefix], all_words[4][1][far_prefix]), (far_extra, far_bits)):
@@ -817,21 +951,24 @@ def _write_image(writer: BitWriter, pixels: np.ndarray, width: int, main: bool)
         value[at], size[at] = words, sizes
         literal[at] = True
         value, size = value[literal], size[literal]
-    out = []
-    for i in range(0, len(value), 1 << 16):
-        v, k = value[i : i + (1 << 16)], size[i : i + (1 << 16)]
-        place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-        out.append((np.repeat(v, k) >> place.astype(np.uint64) & np.uint64(1)).astype(np.uint8))
-    return np.concatenate(out)
+    writer.write(*_joined(value, size))
 
 
-def _to_bits(writer: BitWriter) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(writer.value.to_bytes(-(-writer.size // 8), "little"), np.uint8), bitorder="little")[: writer.size]
+def _joined(value: np.ndarray, size: np.ndarray) -> tuple[int, int]:
+    """Values of `size` bits (each up to 64, at least one value) one after the other, as a number, and its bits."""
+    ends = size.cumsum()
+    starts = ends - size
+    word, shift = starts >> 6, (starts & 63).astype(np.uint64)
+    first = np.append(0, (word[1:] != word[:-1]).nonzero()[0] + 1)
+    out = np.zeros((int(ends[-1]) >> 6) + 2, np.uint64)
+    out[word[first]] = np.bitwise_or.reduceat(value << shift, first)
+    last = np.append(first[1:], len(value)) - 1  # only the last that begins in a word reaches into the next
+    out[word[last] + 1] |= value[last] >> np.uint64(1) >> np.uint64(63) - shift[last]
+    return int.from_bytes(out.tobytes(), "little"), int(ends[-1])
 
 
 def _channel_cost(rgb: np.ndarray) -> float:
-    counts = np.bincount((rgb.reshape(-1, 3) + np.arange(0, 768, 256, dtype=np.uint16)).ravel(), minlength=768)
-    return sum(_cost(counts[i : i + 256]) for i in (0, 256, 512))
+    return _cost(np.bincount((rgb.reshape(-1, 3) + np.arange(0, 768, 256, dtype=np.uint16)).ravel(), minlength=768), 3)
 
 
 def _predicted(rgb: np.ndarray, mode: int) -> np.ndarray:
@@ -847,61 +984,60 @@ def _predicted(rgb: np.ndarray, mode: int) -> np.ndarray:
 
 
 def _argb(rgb: np.ndarray, alpha: int) -> np.ndarray:
-    r, g, b = (rgb[..., i].ravel().astype(np.uint32) for i in range(3))
-    return np.uint32(alpha << 24) | r << np.uint32(16) | g << np.uint32(8) | b
+    out = np.empty((rgb.size // 3, 4), np.uint8)
+    out[:, :3], out[:, 3] = rgb.reshape(-1, 3)[:, ::-1], alpha
+    return out.view("<u4").ravel()
 
 
-#: The most colours that get a palette; the bits a sample from which on transforms are tried, since codes alone take less for
-#: prose; and the fewest pixels that get codes of their own, which take half a millisecond each way for any image.
-_FEW, _POORLY, _LEAST_PIXELS = 16, 5.2, 1536
+#: The most colours that get a palette, and the bits a sample from which on transforms are tried, since codes alone take less for prose.
+_FEW, _POORLY = 16, 5.2
+#: Pixels from which on prose is stored in less than 0.7 of its payload, as the tests hold; the encoder does not look at it.
+_LEAST_PIXELS = 1536
 
 
-def _with_codes(pixels: np.ndarray, colours: np.ndarray, whole: np.ndarray) -> bytes:
-    """An image with the transform, cache, back-references and prefix codes that seem to take the fewest bits."""
+def encode(pixels: np.ndarray) -> bytes:
+    """An opaque RGB image (height, width, 3) of 8-bit samples as lossless WebP, with the transform, cache, back-references and
+    prefix codes that seem to take the fewest bits; literals of eight bits where codes would take more."""
     height, width, _ = pixels.shape
+    whole = _argb(pixels, 255)
+    few = len(set(whole[: 4 * _FEW].tolist())) <= _FEW and len(np.unique(whole[:1024])) <= _FEW  # no more, if so many places have no more
+    colours = np.unique(whole) if few else whole
     w = BitWriter()
     header(w, width, height)
-    if len(colours) <= _FEW:
+    if few and len(colours) <= _FEW:
         for value, n in ((1, 1), (PALETTE, 2), (len(colours) - 1, 8)):
             w.write(value, n)
         deltas = np.diff(colours.view(np.uint8).reshape(-1, 4), axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8)
-        parts = [_to_bits(w)]
-        w = BitWriter()
-        body = _write_image(w, np.ascontiguousarray(deltas).view(np.uint32).ravel(), len(colours), False)
-        parts += [_to_bits(w), body]
+        _write_image(w, np.ascontiguousarray(deltas).view(np.uint32).ravel(), len(colours), False)
         bits = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1
         index = np.searchsorted(colours, whole).reshape(height, width)
         packed = np.zeros((height, _blocks(width, bits)), np.int64)
         for k in range(1 << bits):
             part = index[:, k :: 1 << bits]
             packed[:, : part.shape[1]] |= part << k * (8 >> bits)
-        w, now, across = BitWriter(), packed.ravel().astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000), packed.shape[1]
+        now, across = packed.ravel().astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000), packed.shape[1]
     else:
-        parts, across = [], width
-        choices = {None: pixels}
-        if _channel_cost(pixels) > _POORLY * pixels.size:
+        now, across = whole, width
+        plain = _channel_cost(pixels)
+        if plain > _POORLY * pixels.size:
             green = pixels.copy()
             green[:, :, [0, 2]] -= pixels[:, :, 1:2]
-            choices |= {SUBTRACT_GREEN: green, (PREDICTOR, 1): _predicted(pixels, 1), (PREDICTOR, 2): _predicted(pixels, 2)}
-        costs = {c: _channel_cost(x) for c, x in choices.items()} if len(choices) > 1 else {None: 0.0}
-        chosen = min(costs, key=costs.get)
-        if costs[chosen] >= 8 * pixels.size:
-            return _with_bytes(pixels)
-        now = _argb(choices[chosen], 255)
-        if chosen == SUBTRACT_GREEN:
-            w.write(1 | SUBTRACT_GREEN << 1, 3)
-        elif chosen is not None:
-            now = _argb(choices[chosen], 0)  # of alpha nothing is left: the first pixel's predictor is opaque, the others have its like
-            w.write(1 | PREDICTOR << 1 | (9 - 2 << 3 & 56), 6)
-            blocks = _blocks(width, 9) * _blocks(height, 9)
-            parts.append(_to_bits(w))
-            w = BitWriter()
-            body = _write_image(w, np.full(blocks, chosen[1] << 8 | 0xFF000000, np.uint32), _blocks(width, 9), False)
-            parts += [_to_bits(w), body]
-            w = BitWriter()
+            choices = {SUBTRACT_GREEN: green, (PREDICTOR, 1): _predicted(pixels, 1), (PREDICTOR, 2): _predicted(pixels, 2)}
+            costs = {None: plain} | {c: _channel_cost(x) for c, x in choices.items()}
+            chosen = min(costs, key=costs.get)
+            if costs[chosen] >= 8 * pixels.size:
+                return _with_bytes(pixels)
+            if chosen == SUBTRACT_GREEN:
+                now = _argb(green, 255)
+                w.write(1 | SUBTRACT_GREEN << 1, 3)
+            elif chosen is not None:
+                now = _argb(choices[chosen], 0)  # of alpha nothing is left: the first pixel's predictor is opaque, the others have its like
+                w.write(1 | PREDICTOR << 1 | (9 - 2 << 3 & 56), 6)
+                blocks = _blocks(width, 9) * _blocks(height, 9)
+                _write_image(w, np.full(blocks, chosen[1] << 8 | 0xFF000000, np.uint32), _blocks(width, 9), False)
     w.write(0, 1)
-    body = _write_image(w, now, across, True)
-    return wrap(np.packbits(np.concatenate([*parts, _to_bits(w), body]), bitorder="little").tobytes())
+    _write_image(w, now, across, True)
+    return wrap(w.value.to_bytes(-(-w.size // 8), "little"))
 
 
 _REVERSED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1], axis=1).ravel()
@@ -931,15 +1067,6 @@ def _with_bytes(pixels: np.ndarray) -> bytes:
     return wrap(np.packbits(np.concatenate([head, body]), bitorder="little").tobytes())
 
 
-def encode(pixels: np.ndarray) -> bytes:
-    """An opaque RGB image (height, width, 3) of 8-bit samples as lossless WebP; literals of eight bits where codes of its own would take more."""
-    whole = _argb(pixels, 255)
-    few = len(np.unique(whole[:1024])) <= _FEW
-    if not few and len(whole) < _LEAST_PIXELS:
-        return _with_bytes(pixels)
-    return _with_codes(pixels, np.unique(whole) if few else whole, whole)
-
-
 ROW = 192
 _HIGHEST = 16384
 

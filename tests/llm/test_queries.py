@@ -160,6 +160,39 @@ def test_webp_stored_forms_use_codes_references_and_cache(docs):
     assert {"bytes", "codes", "cache", "references"} <= kinds
 
 
+def test_webp_stored_form_has_no_switch_by_size(docs):
+    """Texts of all sizes get codes of their own, back-references and a cache by the same rule; none is stored as plain eight-bit literals."""
+    small = [webp.payload_of(t.encode()) for t in docs.values() if len(t.encode()) < 4600]
+    assert len(small) > 100
+    for payload in small:
+        media = webp.store(payload)
+        assert len(media) < len(payload) and media != webp._with_bytes(np.frombuffer(payload, np.uint8).reshape(-1, 64, 3))
+        assert webp.read_back(media)[:, :, :3].tobytes() == payload
+    line = b"The quick brown fox jumps over the lazy dog, and the dog sleeps on. "
+    for n in range(192, 9216, 192):  # what was a step at 4608 bytes
+        payload = webp.payload_of((line * 136)[:n])
+        assert len(webp.store(payload)) < 0.5 * len(payload) + 150
+
+
+def test_webp_codes_are_level_where_that_takes_fewer_bits():
+    level = np.zeros(256, np.int64)
+    level[97:113] = [5, 5, 5, 5, 4, 4, 4, 4, 4, 4, 4, 4, 3, 3, 3, 3]
+    code, lengths = webp._made_code(level)
+    assert set(lengths[97:113]) == {4} and not lengths[:97].any() and not lengths[113:].any()
+    _, steep = webp._made_code(level**6)
+    assert len(set(steep[97:113])) > 1
+    rng = np.random.default_rng(5)
+    for n in (3, 5, 11, 17, 60, 200):  # complete, whatever is in use
+        counts = np.zeros(280, np.int64)
+        counts[rng.choice(280, n, replace=False)] = 1
+        level = webp._level(counts)
+        assert (level[counts > 0] > 0).all() and (level > 0).sum() == 1 << level.max()
+        writer = webp.BitWriter()
+        webp._write_code(writer, level)
+        bits = webp.Bits(writer.value.to_bytes(-(-writer.size // 8) + 4, "little"))
+        assert webp._read_code(bits, 280).bits == level.max() and bits.at == writer.size
+
+
 @pytest.mark.parametrize("kind", ["palette", "green", "left", "above"])
 def test_webp_encoder_takes_transforms_where_they_pay(kind):
     rng = np.random.default_rng(1)
