@@ -931,7 +931,13 @@ def _write_image(writer: BitWriter, pixels: np.ndarray, width: int, main: bool)
     if main:
         writer.write(0, 1)  # one group of codes
     all_words: list[tuple[np.ndarray, np.ndarray]] = []
-    for c, times in ((counts[0], 1), (counts[1], 2), (np.bincount(channels[3, plain] if main else channels[3], minlength=256), 1), (np.bincount(far_prefix, minlength=40), 1)):
+    alpha = channels[3]
+    alike = bool((alpha == alpha[0]).all())
+    for c, times in ((counts[0], 1), (counts[1], 2), (None if alike else np.bincount(alpha[plain], minlength=256), 1), (np.bincount(far_prefix, minlength=40), 1)):
+        if c is None:  # one symbol, which takes no bits
+            write_lone(writer, int(alpha[0]))
+            all_words.append((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+            continue
         code, lengths_of = _made_code(c, times)
         for _ in range(times):
             writer.write(code.value, code.size)
@@ -967,8 +973,17 @@ def _joined(value: np.ndarray, size: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(out.tobytes(), "little"), int(ends[-1])
 
 
+_SAMPLES = np.arange(256)
+_OFFSETS = np.arange(0, 768, 256, dtype=np.uint16)
+
+
+def _by_channel(rgb: np.ndarray) -> np.ndarray:
+    """How often each sample occurs, first for red, then green, then blue."""
+    return np.bincount((rgb.reshape(-1, 3) + _OFFSETS).ravel(), minlength=768)
+
+
 def _channel_cost(rgb: np.ndarray) -> float:
-    return _cost(np.bincount((rgb.reshape(-1, 3) + np.arange(0, 768, 256, dtype=np.uint16)).ravel(), minlength=768), 3)
+    return _cost(_by_channel(rgb), 3)
 
 
 def _predicted(rgb: np.ndarray, mode: int) -> np.ndarray:
@@ -1100,7 +1115,10 @@ def features(pixels: np.ndarray) -> str:
     counts = np.bincount(cells.ravel(), minlength=64)
     means = np.bincount(cells.ravel(), grey, 64) / np.maximum(counts, 1)
     hashed = int.from_bytes(np.packbits(means > means.mean()).tobytes(), "big")
-    return f"{width}x{height} mean {' '.join(f'{v:.2f}' for v in rgb.mean(axis=0))} std {' '.join(f'{v:.2f}' for v in rgb.std(axis=0))} hash {hashed:016x}"
+    n, each = len(rgb), _by_channel(rgb).reshape(3, 256)
+    sums, squares = (each @ _SAMPLES).tolist(), (each @ _SAMPLES**2).tolist()
+    means_of, deviations = [a / n for a in sums], [math.sqrt(n * b - a * a) / n for a, b in zip(sums, squares, strict=True)]
+    return f"{width}x{height} mean {' '.join(f'{v:.2f}' for v in means_of)} std {' '.join(f'{v:.2f}' for v in deviations)} hash {hashed:016x}"
 
 
 def decode_images(df: DataFrame, columns: list[str], image_col: str = "image") -> DataFrame:
