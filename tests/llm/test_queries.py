@@ -7,6 +7,7 @@ import itertools
 import math
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -193,6 +194,48 @@ def test_webp_codes_are_level_where_that_takes_fewer_bits():
         assert webp._read_code(bits, 280).bits == level.max() and bits.at == writer.size
 
 
+def webp_company(docs):
+    """Payloads of all kinds: prose, one that repeats, few colours, noise, slopes, the least and a large one."""
+    rng = np.random.default_rng(3)
+    odd = [b"", b"x", b"a" * 192, b"ab" * 3000, bytes(range(256)) * 40, rng.integers(0, 256, 9000).astype(np.uint8).tobytes(), np.cumsum(rng.integers(-2, 3, 9600)).astype(np.uint8).tobytes()]
+    texts = [t.encode() for t in list(docs.values())[:60]]
+    return [webp.payload_of(t) for t in [*odd, *texts, b" ".join(texts)]]
+
+
+def test_webp_images_are_worked_on_together_and_stored_as_alone(docs, monkeypatch):
+    payloads, calls = webp_company(docs), Counter()
+    alone = [webp.store(p) for p in payloads]
+    media = webp.store_all(payloads)
+    assert media == alone and webp.store_all(payloads[::-1]) == alone[::-1]
+    assert [x[:, :, :3].tobytes() for x in webp.read_all(media)] == payloads
+    monkeypatch.setattr(webp, "_AT_ONCE", 1000)  # each image takes several rounds
+    assert [x[:, :, :3].tobytes() for x in webp.read_all(media)] == payloads
+    monkeypatch.undo()
+    for name in ("_write_images", "_tokens"):
+        inner = getattr(webp, name)
+        monkeypatch.setattr(webp, name, lambda *a, inner=inner, name=name: (calls.update([name]), inner(*a))[1])
+    small = [p for p in payloads[7:] if len(p) < 4600]
+    webp.read_all(webp.store_all(small))
+    assert len(small) > 20 and max(calls.values()) <= len(small) / 5
+
+
+def test_webp_cached_colours_that_were_never_set_beside_other_images():
+    out = webp.BitWriter()
+    webp.header(out, 64, 2)
+    for value, n in ((0, 1), (1, 1), (1, 4), (0, 1)):  # no transform, a cache of two colours, one group
+        out.write(value, n)
+    out.write(*webp._sent_codes([([280, 281], [1, 1], 282)])[0])
+    for s in (0, 0, 0, 0):
+        webp.write_lone(out, s)
+    out.write(0, 128)
+    unset = webp.wrap(out.value.to_bytes(-(-out.size // 8), "little"))
+    payload = webp.payload_of(b"some words and some more words " * 30)
+    good = webp.store(payload)
+    got = webp.decode_all([good, unset, good])
+    assert (got[1] == np.array([0, 0, 0, 255])).all() and got[1].shape == (2, 64, 4)
+    assert got[0][:, :, :3].tobytes() == got[2][:, :, :3].tobytes() == payload
+
+
 @pytest.mark.parametrize("kind", ["palette", "green", "left", "above"])
 def test_webp_encoder_takes_transforms_where_they_pay(kind):
     rng = np.random.default_rng(1)
