@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from quarry import registry
-from quarry.operators import documents, nearest
+from quarry.operators import documents, nearest, wordcounts
 
 import oracle
 
@@ -70,3 +70,29 @@ def test_cosine_packs_hold_every_vector_once(spark):
     packs = nearest.packed(v.select("vec_id", "embedding"), 50).collect()
     assert sorted(str(i) for p in packs for i in p.ids) == sorted(str(r.vec_id) for r in v.collect())
     assert all(len(p.data) == 8 * max(p.size, 0) * len(p.ids) and len(p.ids) <= 50 for p in packs)
+
+
+def test_bm25_as_in_sql(spark, tmp_path):
+    """Repeated and null ids of documents and queries, equal documents, letters whose lower case is ASCII; before, repeated rows counted once."""
+    items = [(1, "same same words"), (2, "İstanbul k9 w1"), (3, None), (4, "nowhere"), (1, "zz same"), (None, "zz w5 w6"), (5, "abc ab")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for k, repeated in enumerate((False, True)):
+        docs = odd_documents(spark, repeated).repartition(3)
+        assert differs(spark, tmp_path / str(k), "retrieval_bm25", documents=docs, benchmark=benchmark) == ""
+
+
+def test_bm25_in_blocks(spark, monkeypatch):
+    """Blocks of queries, and documents scored a few at a time, give the same; no queries give no rows."""
+    docs = odd_documents(spark, True).select("doc_id", "text")
+    queries = spark.createDataFrame([(f"q{i}", f"same w{i} abc") for i in range(5)], "query_id string, text string")
+    want = sorted(map(str, documents.bm25(docs, queries, top=3).collect()))
+    monkeypatch.setattr(wordcounts, "_CELLS", 7)
+    assert sorted(map(str, documents.bm25(docs, queries, top=3, block=5).collect())) == want and len(want) == 15
+    assert documents.bm25(docs, queries.where("query_id = 'x'")).count() == 0
+
+
+def test_bm25_shuffles_no_words(spark):
+    """Only the best of each task are shuffled: the plan has no join and no explode."""
+    docs = odd_documents(spark, False).select("doc_id", "text")
+    plan = documents.bm25(docs, docs.limit(5).withColumnRenamed("doc_id", "query_id"))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and "Generate" not in plan
